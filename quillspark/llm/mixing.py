@@ -99,10 +99,12 @@ s2 AS (SELECT *, sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source
   sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM s1),
 s3 AS (SELECT *, max(share) FILTER (WHERE rest * weight <= cap * share) OVER () AS l_share, min(rest) FILTER (WHERE rest * weight <= cap * share) OVER () AS x FROM s2),
 s4 AS (SELECT s3.source, s3.source_size, least(CAST(s3.cap AS DOUBLE), CAST(s3.weight * l.rest AS DOUBLE) / CAST(l.share AS DOUBLE)) AS target FROM s3 JOIN s2 l ON l.share = s3.l_share),
-q AS (SELECT z.*, s4.source_size, s4.target, k AS round, md5(concat(k, ':', coalesce(CAST(doc_id AS VARCHAR), 'null'))) AS draw
-  FROM z JOIN s4 ON z.source IS NOT DISTINCT FROM s4.source, (SELECT unnest([0, 1, 2]) AS k) WHERE k = 0 OR k * s4.source_size < s4.target),
-f AS (SELECT *, CASE WHEN target = 0 THEN 0 ELSE CAST(sum(size) OVER (PARTITION BY source ORDER BY round, draw, doc_id, size) AS DOUBLE) / target END AS finish FROM q),
-n AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, draw, doc_id, size) AS passed FROM f)
+q AS (SELECT z.*, s4.source_size, s4.target, r.round, md5(r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
+  FROM z JOIN s4 ON coalesce(z.source, chr(1)) = coalesce(s4.source, chr(1)) JOIN (SELECT 0 AS round UNION ALL SELECT 1 UNION ALL SELECT 2) r ON r.round = 0 OR r.round * s4.source_size < s4.target),
+f AS (SELECT *, CASE WHEN target = 0 THEN 0 ELSE CAST(sum(size) OVER (PARTITION BY source ORDER BY round, draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target END AS finish FROM q),
+n AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS passed FROM f),
+u AS (SELECT sum(size) AS budget FROM z)
 """
-_TAKEN = "SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN passed <= (SELECT sum(size) FROM z) THEN size ELSE 0 END) AS BIGINT) AS taken, count(*) FILTER (WHERE size > 0 AND passed <= (SELECT sum(size) FROM z)) AS copies FROM n GROUP BY doc_id, size, source_size, target"
+_TAKEN = """SELECT doc_id, size, source_size, target, CAST(sum(CASE WHEN passed <= budget THEN size ELSE 0 END) AS BIGINT) AS taken, count(*) FILTER (WHERE size > 0 AND passed <= budget) AS copies
+FROM n, u GROUP BY doc_id, size, source_size, target"""
 ORACLE_SQL = "WITH " + _MIX.replace("{keys}", "doc_id").replace("{source}", "documents") + _TAKEN
