@@ -1,4 +1,245 @@
-"""The library's own queries and their SQL."""
+"""The library's queries over the driver's tables, and the same in SQL.
+
+The tables hold few of the errors that the rules correct, so each query first puts some in, by an expression that both engines read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import quality, rules, text
+from quillspark.operators import pages, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _column(name: str, noise: str, change, sql: str | None) -> None:
+    """A query that puts noise into documents, changes the text, and returns it with its length before."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = _read(spark, sf_dir, "documents").select("doc_id", F.expr(noise).alias("t"))
+        return d.select("doc_id", F.length("t").cast("long").alias("n_before"), change(F.col("t")).alias("text"))
+
+    QUERIES[name] = run
+    if sql:
+        ORACLES[name] = f"WITH n AS (SELECT doc_id, {noise} AS t FROM documents) SELECT doc_id, CAST(length(t) AS BIGINT) AS n_before, {sql} AS text FROM n"
+
+
+def _chars(c: str) -> str:
+    return " || ".join(f"chr({ord(x)})" for x in c) or "''"
+
+
+def _replaced(c: str, pairs) -> str:
+    for a, b in pairs:
+        c = f"replace({c}, {_chars(a)}, {_chars(b)})"
+    return c
+
+
+def _regex(c: str, *pairs) -> str:
+    for a, b in pairs:
+        c = f"regexp_replace({c}, '{a}', '{b}', 'g')"
+    return c
+
+
+def _rules(*ids):
+    return [r for r in rules.GENERAL + rules.CORPUS if r[0] in ids]
+
+
+_G = "[\\x{370}-\\x{3ff}\\x{1f00}-\\x{1fff}]"
+_L = "[a-záéíóúàèìòùäëïöüâêîôûæœ]"
+_W = "[\\p{L}\\p{N}_]"
+
+_column("char_replacements", "replace(replace(text, 'fi', '\ufb01'), ' th', '\u00a0th')", text.replace_chars, _replaced("t", rules.CHARS))
+_column("nfc_normalize", "replace(replace(text, 'é', 'e\u0301'), 'ü', 'u\u0308')", text.normalize_unicode, "nfc_normalize(t)")
+_column("bracket_cleanup", "'[ ἀγαθ[ο]ῦ ] ( x) {y } ' || replace(text, ' the ', ' ( the ) ')", text.clean_brackets,
+        _regex("t", ("\\[\\s+", "["), ("\\s+\\]", "]"), ("\\(\\s+", "("), ("\\s+\\)", ")"), ("\\{\\s+", "{"), ("\\s+\\}", "}"), ("⟨\\s+", "⟨"), ("\\s+⟩", "⟩")))
+_column("latin_in_greek", "'λόaγος λοrγvος xαx ' || text", text.latin_in_greek, _regex("t", *[(f"({_G}){a}({_G})", f"\\1{b}\\2") for a, b in zip(*rules.IN_GREEK)] * 2))
+_column("page_number_removal", "text || chr(10) || CAST(doc_id % 1000 AS STRING) || chr(10) || 'end'", lambda c: text.apply_rules(c, _rules("G01")), "regexp_replace(t, '(?m)^\\s*[0-9]{1,4}\\s*$', '', 'g')")
+_column("separator_removal", "text || chr(10) || '-----' || chr(10) || 'end'", lambda c: text.apply_rules(c, _rules("G20")), "regexp_replace(t, '(?m)^\\s*[-=\\*]{3,}\\s*$', '', 'g')")
+_column("dehyphenate", "replace(replace(text, 'ti', 't-' || chr(10) || 'i'), 'on', 'o- ' || chr(10) || 'n')", lambda c: text.apply_rules(c, _rules("G02", "G03")), _regex("t", *[(f"({_W})-\\n({_W})", "\\1\\2")] * 2, *[(f"({_W})- \\n({_W})", "\\1\\2")] * 2))
+_column("whitespace_cleanup", "replace(replace(replace(text, ' ', '  '), '. ', chr(9) || chr(9)), ',', chr(10) || chr(10) || chr(10))", lambda c: text.apply_rules(c, _rules("G04", "G06", "G19")), _regex("t", (" {2,}", " "), ("\\n{3,}", "\\n\\n"), ("\\t+", " ")).replace("'\\n\\n'", "chr(10) || chr(10)"))
+_column("digit_letter_confusion", "replace(replace(text, 'el', 'e1'), 'no', 'n0')", lambda c: text.apply_rules(c, _rules("G07", "G08")), _regex("t", *[(f"(?i)({_L})1({_L})", "\\1l\\2")] * 2, *[(f"(?i)({_L})0({_L})", "\\1o\\2")] * 2))
+_column("greek_multichar", "'λόγijος rjλ λcpα ij <pω ' || text", lambda c: text.apply_rules(c, _rules("G09", "G10", "G11", "G12", "G13")), _regex("t", *[p for a, b in (("ij", "η"), ("rj", "η"), ("cp", "φ"), ("<p", "φ"), ("©", "θ")) for p in ((f"({_G}){a}", f"\\1{b}"), (f"{a}({_G})", f"{b}\\1"))]))
+_column("greek_interior_marks", "'λό;γος λό\u0313γος; ' || text", lambda c: text.apply_rules(c, _rules("G14", "G15")), _regex("t", *[(f"({_G});({_G})", "\\1\\2")] * 2, *[(f"({_G})[\\x{{313}}\\x{{314}}'']({_G})", "\\1\\2")] * 2))
+_column("bibliographic", "'p p. 12 I bid op . cit . $$ 12 $ 4 «  a  » /9:/ [9:] ' || text", lambda c: text.apply_rules(c, _rules("G16", "G17", "G18", "G21", "G22", "G23", "G24", "G25", "G26")),
+        _regex("t", ("\\bp p\\.\\s*([0-9])", "pp. \\1"), ("(?i)\\bI bid\\b", "Ibid"), ("\\bop\\s*\\.\\s*cit\\s*\\.", "op. cit."), ("\\$\\$\\s*([0-9])", "§§ \\1"), ("\\$\\s*([0-9])", "§\\1"), ("«\\s+", "« "), ("\\s+»", " »"), ("/9:/", "/ɔː/"), ("\\[9:\\]", "[ɔː]")))
+_column("corpus_rules", "CASE WHEN doc_id % 2 = 0 THEN 'acentuaci6n relaci6n omnioaded hiAdov BRΟAD ' || text ELSE text END", text.corpus_rules,
+        _regex("t", ("acentuaci6n", "acentuación"), ("relaci6n", "relación"), ("\\bomnioaded\\b", "Downloaded"), ("\\bhiAdov\\b", "hιλάο̄ν"), ("BRΟAD", "ΒRΟΑD")))
+_column("epigraphic", "'<ABC J> <d E> < ' || text", text.epigraphic,
+        f"array_to_string(list_transform(regexp_extract_all(t, '(?s)<[^>]+>|<|[^<]+'), lambda p: CASE WHEN starts_with(p, '<') AND ends_with(p, '>') THEN translate(p, '{rules.EPIGRAPHIC[0]}', '{rules.EPIGRAPHIC[1]}') ELSE p END), '')")
+_column("private_use", "'\ue1b0x\ue1c3' || text", text.private_use, _replaced("t", (("\ue1b0", "ε\u0342"), ("\ue1c3", "ο\u0342"))))
+_column("final_sigma", "'πόσ[ισ]ιν λόγοσ, σοφόσ (ρ ' || text", lambda c: text.segment_rules(c, True), None)
+_column("word_replacements", "'lhéte G1otta afios ibid ibid. Ibid xafios ' || text", text.word_rules,
+        _regex("t", *[(f"(^|[^\\p{{L}}\\p{{N}}_])({a})($|[^\\p{{L}}\\p{{N}}_])", f"\\1{b}\\3") for a, b in (("lhéte", "Lhôte"), ("G1otta", "Glotta"), ("afios", "años"))], ("(^|[^\\p{L}\\p{N}_])([iI])bid($|[^\\p{L}\\p{N}_.])", "\\1\\2bid.\\3")))
+_column("strip_diacritics", "text", quality.strip_diacritics, "strip_accents(t)")
+_NOISE = "'[ ἀγαθ[ο]ῦ ] <AB> λόγijος acentuaci6n wor1d lhéte ' || replace(replace(text, '. ', ' . '), 'fi', '\ufb01') || chr(10) || CAST(doc_id % 1000 AS STRING) || chr(10) || 'end'"
+_column("fix_text_full", _NOISE, text.fix_text, None)
+_column("fix_text_general", _NOISE, lambda c: text.fix_text(c, "general"), None)
+_column("fix_text_no_corpus", _NOISE, lambda c: text.fix_text(c, include_corpus_specific=False), None)
+_column("join_greek_fragments", "'λό γος καὶ ἀγαθ οῦ ' || text", text.join_greek_fragments, None)
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+_CLEAN = "replace(CASE WHEN doc_id % 3 = 0 THEN replace(replace(text, '. ', ' . '), ' ', '  ') ELSE text END, 'fi', '\ufb01')"
+_STRIPPED = _regex(_replaced("t", rules.CHARS), (" {2,}", " "), (" ([,.!?:;])", "\\1"), ("\\n{3,}", "\\n\\n"), ("^\\s+|\\s+$", "")).replace("'\\n\\n'", "chr(10) || chr(10)")
+
+
+@_query(f"WITH n AS (SELECT lang, {_CLEAN} AS t FROM documents), c AS (SELECT lang, length(t) AS a, length({_STRIPPED}) AS b FROM n) SELECT lang, count(*) AS n_docs, CAST(sum(a - b) AS BIGINT) AS chars_removed, count(*) FILTER (WHERE a <> b) AS n_changed FROM c GROUP BY lang")
+def cleanup_by_language(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents").select("lang", F.expr(_CLEAN).alias("t"))
+    d = d.select("lang", F.length("t").alias("a"), F.length(text.strip(text.apply_rules(text.replace_chars(F.col("t")), _rules("G04", "G05", "G06")))).alias("b"))
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("a") - F.col("b")).cast("long").alias("chars_removed"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
+
+
+@_query("SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN regexp_matches(' ' || CAST(p_size AS VARCHAR) || ' ', '^\\s*[0-9]+([.,][0-9]+)?\\s*$') ELSE regexp_matches(p_name, '^\\s*[0-9]+([.,][0-9]+)?\\s*$') END AS is_number FROM part")
+def numeric_cells(spark, sf_dir):
+    cell = F.when(F.col("p_partkey") % 4 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"), F.lit(" "))).otherwise(F.col("p_name"))
+    return _read(spark, sf_dir, "part").select("p_partkey", text.numeric_cell(cell).alias("is_number"))
+
+
+@_query()
+def fix_cell(spark, sf_dir):
+    return _read(spark, sf_dir, "part").select("p_partkey", text.fix_cell(F.when(F.col("p_partkey") % 5 == 0, F.lit(" 30 ")).otherwise(F.concat(F.col("p_name"), F.lit(" acentuaci6n . ")))).alias("cell"))
+
+
+@_query("SELECT doc_id, unnest(regexp_extract_all('λόγος [ἀγαθ[ο]ῦ] ' || text, '[Ͱ-Ͽἀ-῿]+(?:[\\[\\](){}⟨⟩][Ͱ-Ͽἀ-῿]+)*|[^Ͱ-Ͽἀ-῿]+')) AS segment FROM documents")
+def greek_segments(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.explode(text.segments(F.concat(F.lit("λόγος [ἀγαθ[ο]ῦ] "), "text"))).alias("segment"))
+
+
+_FORM = "'### Texto erróneo' || chr(10) || ' bad' || CAST(doc_id AS STRING) || ' ' || chr(10) || '### Correcto' || chr(10) || 'good' || chr(10) || '### Empty'"
+
+
+@_query("SELECT doc_id, 'bad' || CAST(doc_id AS VARCHAR) AS bad, 'good' AS good FROM documents")
+def issue_form(spark, sf_dir):
+    m = text.parse_issue(F.expr(_FORM))
+    return _read(spark, sf_dir, "documents").select("doc_id", F.element_at(m, "texto erróneo").alias("bad"), F.element_at(m, "correcto").alias("good"))
+
+
+def _turns(spark, sf_dir):
+    return _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").cast("int").alias("page_number"), F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Table 1. x\n"), "text")).otherwise(F.col("text")).alias("text"))
+
+
+_TURNS = "t AS (SELECT conv_id AS doc_id, CAST(turn AS INTEGER) AS page_number, CASE WHEN turn % 3 = 1 THEN 'Table 1. x' || chr(10) || text ELSE text END AS text FROM conversations)"
+
+
+@_query(f"WITH {_TURNS}, c AS (SELECT *, regexp_matches(text, '(?im)^\\s*(Table|Tab\\.?|Tabla|Cuadro|Tableau)\\s*\\.?\\s*[0-9]+') AS has_caption FROM t) SELECT doc_id, page_number, has_caption, has_caption OR lag(has_caption, 1, false) OVER (PARTITION BY doc_id ORDER BY page_number) AS in_scope FROM c")
+def caption_window(spark, sf_dir):
+    return tables.caption_window(_turns(spark, sf_dir)).drop("text")
+
+
+@_query(f"WITH {_TURNS} SELECT doc_id, page_number FROM t WHERE page_number BETWEEN 2 AND 3")
+def page_range(spark, sf_dir):
+    return pages.page_range(_turns(spark, sf_dir), "2-3").select("doc_id", "page_number")
+
+
+@_query(f"WITH {_TURNS} SELECT doc_id, string_agg(chr(10) || chr(10) || '--- Page ' || page_number || ' ---' || chr(10) || chr(10) || text, '' ORDER BY page_number, text) AS markdown FROM t GROUP BY doc_id")
+def assemble_document(spark, sf_dir):
+    return pages.assemble(_turns(spark, sf_dir))
+
+
+@_query(f"WITH {_TURNS} SELECT doc_id, CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) >= 80 THEN 'digital' ELSE 'scanned' END AS kind FROM t WHERE page_number = 1")
+def document_kind(spark, sf_dir):
+    return pages.document_kind(_turns(spark, sf_dir))
+
+
+def _grids(spark, sf_dir):
+    row = F.when(F.col("l_linenumber") % 4 == 0, F.array(F.col("l_partkey").cast("string"))).otherwise(F.array(F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "l_returnflag")), F.col("l_linenumber").cast("string")))
+    d = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", row.alias("r"))
+    return d.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "r"))).alias("g")).select("l_orderkey", F.transform("g", lambda s: s["r"]).alias("grid"))
+
+
+_GRIDS = "c AS (SELECT l_orderkey, l_linenumber AS n, CASE WHEN l_linenumber % 4 = 0 THEN [CAST(l_partkey AS VARCHAR)] ELSE [CAST(l_partkey AS VARCHAR), CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE ' ' || l_returnflag END, CAST(l_linenumber AS VARCHAR)] END AS r FROM lineitem), g AS (SELECT l_orderkey, list(r ORDER BY n, r) AS grid FROM c GROUP BY l_orderkey)"
+
+
+@_query(f"WITH {_GRIDS}, w AS (SELECT l_orderkey, len(r) AS w, count(*) AS n FROM c GROUP BY ALL), t AS (SELECT l_orderkey, max(n) AS n, arg_max(w, n * 100 + w) AS w FROM w GROUP BY l_orderkey), f AS (SELECT l_orderkey, sum(len(list_filter(r, lambda x: trim(x) <> ''))) / sum(len(r)) AS share, count(*) AS n_rows FROM c GROUP BY l_orderkey) SELECT l_orderkey, n_rows >= 3 AND w >= 2 AND n >= 0.75 * n_rows AND share >= 0.5 AS is_table FROM t JOIN f USING (l_orderkey)")
+def grid_filter(spark, sf_dir):
+    return _grids(spark, sf_dir).select("l_orderkey", tables.is_real_table(F.col("grid")).alias("is_table"))
+
+
+@_query(f"""WITH {_GRIDS}, x AS (SELECT l_orderkey, n, r, trim(r[1]) AS a, coalesce(trim(r[2]), '') AS b, coalesce(trim(r[3]), '') AS d, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, r) AS k, max(len(r)) OVER (PARTITION BY l_orderkey) AS w FROM c),
+z AS (SELECT *, max(length(a)) OVER o AS la, greatest(max(length(b)) OVER o, 1) AS lb, greatest(max(length(d)) OVER o, 1) AS ld FROM x WINDOW o AS (PARTITION BY l_orderkey)),
+l AS (SELECT *, CASE WHEN w = 1 THEN '| ' || rpad(a, CAST(la AS INTEGER), ' ') || ' |' ELSE '| ' || rpad(a, CAST(la AS INTEGER), ' ') || ' | ' || rpad(b, CAST(lb AS INTEGER), ' ') || ' | ' || rpad(d, CAST(ld AS INTEGER), ' ') || ' |' END
+ || CASE WHEN k > 1 THEN '' WHEN w = 1 THEN chr(10) || '| ' || repeat('-', la) || ' |' ELSE chr(10) || '| ' || repeat('-', la) || ' | ' || repeat('-', lb) || ' | ' || repeat('-', ld) || ' |' END AS line FROM z)
+SELECT l_orderkey, string_agg(line, chr(10) ORDER BY k) AS markdown FROM l GROUP BY l_orderkey""")
+def table_markdown(spark, sf_dir):
+    return _grids(spark, sf_dir).select("l_orderkey", tables.to_markdown(F.col("grid")).alias("markdown"))
+
+
+@_query("SELECT l_suppkey AS doc_id, string_agg('### Table ' || k || ' — Page ' || l_linenumber || chr(10) || chr(10) || m, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, o) AS listing FROM (SELECT l_suppkey, l_linenumber, l_orderkey * 100 + l_linenumber AS o, CAST(l_orderkey AS VARCHAR) AS m, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey * 100 + l_linenumber) AS k FROM lineitem) GROUP BY l_suppkey")
+def table_listing(spark, sf_dir):
+    d = _read(spark, sf_dir, "lineitem")
+    return tables.listing(d.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("table_ord"), F.col("l_orderkey").cast("string").alias("markdown")))
+
+
+@_query("SELECT doc_id, 'Table 1. x' || chr(10) || chr(10) || 'T1' || chr(10) || chr(10) || text || chr(10) || 'Tabla 2' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || 'T2' || chr(10) ELSE '' END AS text FROM documents")
+def insert_tables(spark, sf_dir):
+    d = _read(spark, sf_dir, "documents")
+    return d.select("doc_id", tables.insert_tables(F.concat(F.lit("Table 1. x\n"), "text", F.lit("\nTabla 2")), F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("T1"), F.lit("T2"), F.lit("T3"))).otherwise(F.array(F.lit("T1")))).alias("text"))
+
+
+@_query("WITH p AS (SELECT user_id AS image_id, CAST(event_id % 500 AS INTEGER) AS pos FROM events WHERE event_type <> 'click' GROUP BY ALL), r AS (SELECT *, pos - row_number() OVER (PARTITION BY image_id ORDER BY pos) AS run FROM p) SELECT image_id, CAST(floor((min(pos) + max(pos)) / 2) AS INTEGER) AS centre FROM r GROUP BY image_id, run")
+def line_centres(spark, sf_dir):
+    d = _read(spark, sf_dir, "events").where("event_type <> 'click'").select(F.col("user_id").alias("image_id"), (F.col("event_id") % 500).cast("int").alias("pos")).distinct()
+    return tables.line_centres(d.withColumn("share", F.lit(1.0)))
+
+
+@_query()
+def cell_rows(spark, sf_dir):
+    d = _read(spark, sf_dir, "part")
+    xs = F.array_sort(F.array(F.lit(0), (F.col("p_size") * 3).cast("int"), (F.col("p_size") * 9).cast("int"), F.lit(600)))
+    d = d.select("p_partkey", tables.cell_boxes(xs, F.array(F.lit(0), F.lit(40), F.lit(45), F.lit(120))).alias("cells"))
+    return d.select("p_partkey", tables.group_rows(F.col("cells"), F.lit(1000)).alias("rows"))
+
+
+def _sides(spark, sf_dir):
+    d = _read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("page"), "conv_id", "text")
+    return d.select("page", F.expr("replace(replace(text, 'é', 'e'), 'th', 'tb')").alias("text")), d.where("conv_id % 5 <> 0").select("page", "text")
+
+
+_SIDES = "d AS (SELECT conv_id || '-' || turn AS page, conv_id, text FROM conversations), o AS (SELECT page, replace(replace(text, 'é', 'e'), 'th', 'tb') AS hypothesis FROM d), p AS (SELECT page, text AS reference, hypothesis FROM o JOIN d USING (page) WHERE conv_id % 5 <> 0)"
+_COUNT = "len(list_filter(regexp_split_to_array({}, '\\s+'), lambda w: w <> ''))"
+_DIFF = "round(abs({0} - {1}) / greatest({0}, 1) * 100, 2)"
+
+
+@_query(f"WITH {_SIDES}, x AS (SELECT page, length(reference) AS a, length(hypothesis) AS b, {_COUNT.format('reference')} AS c, {_COUNT.format('hypothesis')} AS d FROM p) SELECT page, {_DIFF.format('a', 'b')} AS char_diff, {_DIFF.format('c', 'd')} AS word_diff FROM x")
+def content_counts(spark, sf_dir):
+    ocr, ref = _sides(spark, sf_dir)
+    return quality.content_counts(ocr.withColumnRenamed("text", "hypothesis").join(ref.withColumnRenamed("text", "reference"), "page")).select("page", "char_diff", "word_diff")
+
+
+@_query(f"WITH {_SIDES}, a AS (SELECT page, w, count(*) AS n FROM (SELECT page, unnest(regexp_split_to_array(lower(strip_accents(reference)), '\\s+')) AS w FROM p) WHERE w <> '' GROUP BY ALL), b AS (SELECT page, w, count(*) AS n FROM (SELECT page, unnest(regexp_split_to_array(lower(strip_accents(hypothesis)), '\\s+')) AS w FROM p) WHERE w <> '' GROUP BY ALL), j AS (SELECT coalesce(a.page, b.page) AS page, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM a FULL JOIN b ON a.page = b.page AND a.w = b.w), s AS (SELECT page, round(200.0 * sum(least(x, y)) / CAST(sum(x + y) AS DOUBLE), 6) AS overlap FROM j GROUP BY page) SELECT p.page, coalesce(CAST(s.overlap AS DOUBLE), 100.0::DOUBLE) AS overlap FROM p LEFT JOIN s ON s.page = p.page")
+def word_overlap(spark, sf_dir):
+    ocr, ref = _sides(spark, sf_dir)
+    return quality.word_overlap(ocr.withColumnRenamed("text", "hypothesis").join(ref.withColumnRenamed("text", "reference"), "page")).select("page", F.round("overlap", 6).alias("overlap"))
+
+
+@_query(f"WITH {_SIDES} SELECT page FROM d WHERE conv_id % 5 = 0")
+def missing_reference(spark, sf_dir):
+    return quality.missing_reference(*_sides(spark, sf_dir))
+
+
+@_query()
+def page_verdict(spark, sf_dir):
+    return quality.verify(*_sides(spark, sf_dir))
+
+
+@_query()
+def batch_summary(spark, sf_dir):
+    sides = _sides(spark, sf_dir)
+    return quality.summary(quality.verify(*sides), quality.missing_reference(*sides))
