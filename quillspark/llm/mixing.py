@@ -85,8 +85,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with exactly the input's columns."""
     names = docs.columns
     numbered = staged(docs.withColumn("__quill_row", F.monotonically_increasing_id()), "numbered")
-    times = queue(sized(numbered)).where("taken").groupBy("row").agg(F.count("*").cast("int").alias("__quill_n"))
-    both = numbered.join(times, F.col("__quill_row") == F.col("row"))
+    times = queue(sized(numbered)).where("taken").groupBy(F.col("row").alias("__quill_row")).agg(F.count("*").cast("int").alias("__quill_n"))
+    both = numbered.join(times, "__quill_row")
     return both.withColumn("__quill_n", F.explode(F.sequence(F.lit(1), F.col("__quill_n")))).select(*[F.col(f"`{c}`") for c in names])
 
 
