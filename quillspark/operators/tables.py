@@ -66,8 +66,9 @@ def insert_tables(text: Column, tables: Column) -> Column:
 def listing(tables: DataFrame) -> DataFrame:
     """doc_id, listing: titled tables in order of page and place."""
     w = W.partitionBy("doc_id", "page_number").orderBy("table_ord")
-    titled = tables.withColumn("title", F.concat(F.lit("### Table "), F.row_number().over(w).cast("string"), F.lit(" — Page "), F.col("page_number").cast("string"), F.lit("\n\n"), F.col("markdown")))
-    ordered = F.array_sort(F.collect_list(F.struct("page_number", "table_ord", "title")))
+    titled = tables.withColumn("k", F.row_number().over(w))
+    titled = titled.withColumn("title", F.concat(F.lit("### Table "), F.col("k").cast("string"), F.lit(" — Page "), F.col("page_number").cast("string"), F.lit("\n\n"), F.col("markdown")))
+    ordered = F.array_sort(F.collect_list(F.struct("page_number", "table_ord", "k", "title")))
     return titled.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda t: t["title"]), "\n\n---\n\n").alias("listing"))
 
 

@@ -181,7 +181,7 @@ def table_markdown(spark, sf_dir):
     return _grids(spark, sf_dir).select("l_orderkey", tables.to_markdown(F.col("grid")).alias("markdown"))
 
 
-@_query("SELECT l_suppkey AS doc_id, string_agg('### Table ' || k || ' — Page ' || l_linenumber || chr(10) || chr(10) || m, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, o) AS listing FROM (SELECT l_suppkey, l_linenumber, l_orderkey * 100 + l_linenumber AS o, CAST(l_orderkey AS VARCHAR) AS m, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey * 100 + l_linenumber) AS k FROM lineitem) GROUP BY l_suppkey")
+@_query("SELECT l_suppkey AS doc_id, string_agg('### Table ' || k || ' — Page ' || l_linenumber || chr(10) || chr(10) || m, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY l_linenumber, o, k) AS listing FROM (SELECT l_suppkey, l_linenumber, l_orderkey * 100 + l_linenumber AS o, CAST(l_orderkey AS VARCHAR) AS m, row_number() OVER (PARTITION BY l_suppkey, l_linenumber ORDER BY l_orderkey * 100 + l_linenumber) AS k FROM lineitem) GROUP BY l_suppkey")
 def table_listing(spark, sf_dir):
     d = _read(spark, sf_dir, "lineitem")
     return tables.listing(d.select(F.col("l_suppkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("table_ord"), F.col("l_orderkey").cast("string").alias("markdown")))
