@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -44,6 +45,16 @@ def java_replacement(text: str) -> str:
     return re.sub(r"\\(\d)", r"$\1", re.sub(r"\\(?!\d)|\$", lambda m: "\\" + m[0], text))
 
 
+def bind(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def folded(c: Column) -> Column:
+    """Letters without case, so that whatever a rule of either case matches has the same letters here."""
+    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+
+
 def apply_rules(c: Column, rules) -> Column:
     """Rules one after the other, as one nested expression."""
     for _, pattern, flags, replacement in rules:
@@ -57,7 +68,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def normalize_unicode(c: Column) -> Column:
-    """NFC; text that is plain ASCII doesn't leave the JVM's values unchanged in any case."""
+    """NFC, which Spark has no function for."""
     return _nfc(c)
 
 
@@ -78,7 +89,7 @@ def clean_brackets(c: Column) -> Column:
 def latin_in_greek(c: Column) -> Column:
     """A Latin small letter between two Greek ones becomes its look-alike."""
     for a, b in zip(*R.IN_GREEK):
-        c = F.regexp_replace(c, f"(?<={R.GREEK}){a}(?={R.GREEK})", b)
+        c = F.regexp_replace(c, f"{a}(?<={R.GREEK}{a})(?={R.GREEK})", b)
     return c
 
 
@@ -86,9 +97,38 @@ def general_rules(c: Column) -> Column:
     return apply_rules(c, R.GENERAL)
 
 
+def needed(pattern: str) -> str:
+    """Characters with which every match of a pattern begins (there are no alternatives at a rule's top level)."""
+    out, k = "", 0
+    while k < len(pattern):
+        if pattern[k : k + 2] == r"\b":
+            k += 2
+            continue
+        if pattern[k] == "\\":
+            if pattern[k + 1] == "u":
+                c, step = chr(int(pattern[k + 2 : k + 6], 16)), 6
+            elif pattern[k + 1].isalnum():
+                break
+            else:
+                c, step = pattern[k + 1], 2
+        elif pattern[k] in "[(.|^$":
+            break
+        else:
+            c, step = pattern[k], 1
+        if pattern[k + step : k + step + 1] in ("?", "*", "{"):
+            break
+        out, k = out + c, k + step
+    return out
+
+
 def corpus_rules(c: Column) -> Column:
-    """Where no rule matches the text as it comes in, none can: one search decides whether the chain runs."""
-    return F.when(c.rlike("|".join(java(p, f) for _, p, f, _ in R.CORPUS)), apply_rules(c, R.CORPUS)).otherwise(c)
+    """Where no rule's first characters are in the text as it comes in, none can match: the chain runs only on other texts."""
+
+    def gated(x: Column) -> Column:
+        starts = [folded(F.lit(needed(p))) for _, p, _, _ in R.CORPUS]
+        return F.when(bind(folded(x), lambda y: functools.reduce(lambda a, b: a | b, [y.contains(s) for s in starts])), apply_rules(x, R.CORPUS)).otherwise(x)
+
+    return bind(c, gated)
 
 
 def epigraphic(c: Column) -> Column:
@@ -98,9 +138,15 @@ def epigraphic(c: Column) -> Column:
 
 
 def word_rules(c: Column) -> Column:
-    for wrong, right in R.WORDS:
-        c = F.regexp_replace(c, EDGE + wrong + EDGE + (r"(?!\.)" if right == wrong + "." else ""), right)
-    return c
+    """Whole words; the chain runs only where one of them occurs at all."""
+
+    def gated(x: Column) -> Column:
+        out = x
+        for wrong, right in R.WORDS:
+            out = F.regexp_replace(out, f"(?<!{LETTER}){wrong}(?!{LETTER})" + (r"(?!\.)" if right == wrong + "." else ""), right)
+        return F.when(functools.reduce(lambda a, b: a | b, [x.contains(wrong) for wrong, _ in R.WORDS]), out).otherwise(x)
+
+    return bind(c, gated)
 
 
 def final_sigma(c: Column) -> Column:
