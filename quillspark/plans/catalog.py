@@ -19,11 +19,17 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(d: DataFrame) -> DataFrame:
+    """A table of fewer partitions than the cores could share, dealt out over them; larger ones stay as they are."""
+    cores = d.sparkSession.sparkContext.defaultParallelism
+    return d.repartition(2 * cores) if d.rdd.getNumPartitions() < 2 * cores else d
+
+
 def _column(name: str, noise: str, change, sql: str | None) -> None:
     """A query that puts noise into documents, changes the text, and returns it with its length before."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        d = _read(spark, sf_dir, "documents").select("doc_id", F.expr(noise).alias("t"))
+        d = _spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.expr(noise).alias("t"))
         return d.select("doc_id", F.length("t").cast("long").alias("n_before"), change(F.col("t")).alias("text"))
 
     QUERIES[name] = run
