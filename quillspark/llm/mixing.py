@@ -7,7 +7,8 @@ is its source's words up to and with it, divided by the source's target; all cop
 stays within the budget, which is the sum of the targets. A copy that would go beyond is not taken, nor any after it.
 
 Running sums are made over buckets of the sort key: sums of buckets first, then within each bucket. No task holds a source or
-the whole queue, so one source may hold any share. Documents without words have size 0 and take 0. Repeated rows are queued
+the whole queue, so one source may hold any share. Bins of virtual time end at LAST_BIN; what lies beyond the budget, as most of a large source
+of low weight does, isn't summed. Documents without words have size 0 and take 0. Repeated rows are queued
 singly, in order of their whole rows' digest. An empty table gives an empty result. The order depends on ids and texts alone: reruns agree.
 """
 
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import WORD, staged
 
 WEIGHTS, MOST = (5, 2, 1), 3
-DIGITS, BINS, LAST_BIN = 3, 2048, 8191  # hexadecimal digits of a bucket of the shuffle; bins of virtual time
+DIGITS, BINS, LAST_BIN, IDLE = 3, 2048, 8191, 4096  # hexadecimal digits of a bucket of the shuffle; bins of virtual time; parts of what is never taken
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -69,8 +70,10 @@ def queue(sizes: DataFrame) -> DataFrame:
     bins = bins.withColumn("earlier", F.coalesce(F.sum("words").over(W.orderBy("bin").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     bins = bins.drop("words")
     total = goals.agg(F.sum("source_size").alias("budget")).collect()[0]["budget"] or 0  # a single number
-    mine = W.partitionBy("bin").orderBy("finish", F.col("source").asc_nulls_last(), "draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
-    d = d.withColumn("passed", F.sum("size").over(mine)).join(bins, "bin")
+    # a copy in a bin beyond the budget, or without words, isn't taken whatever its place: it needs no running sum and is dealt out evenly
+    d = d.join(F.broadcast(bins), "bin").withColumn("part", F.when((F.col("size") > 0) & (F.col("earlier") < total), F.col("bin")).otherwise(-1 - F.pmod(F.xxhash64("row"), F.lit(IDLE)).cast("int")))
+    mine = W.partitionBy("part").orderBy("finish", F.col("source").asc_nulls_last(), "draw", "doc_id", "size", "row").rowsBetween(W.unboundedPreceding, 0)
+    d = d.withColumn("passed", F.sum("size").over(mine))
     return d.withColumn("taken", (F.col("size") > 0) & (F.col("earlier") + F.col("passed") <= total))
 
 

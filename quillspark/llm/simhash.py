@@ -103,7 +103,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id, and links: how many other classes the document's class links with directly through stars."""
+    """doc_id, fingerprint, component_id of every document."""
     every = staged(fingerprints(docs), "fingerprints")
     classes = staged(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     stars = components(staged(links(survivors(classes.select("fp"))), "links"))

@@ -177,6 +177,22 @@ def test_links_and_components(spark):
     assert {v: got.get(v, v) for v in values} == want
 
 
+def test_mixing_large_source_of_low_weight(spark):
+    """Most of a source's queue lies beyond the budget and a third of the rows have no words; SQL without buckets must agree."""
+    import duckdb
+
+    data = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "big") for i in range(600)] + [(1000 + i, None if i % 2 else " ", "void") for i in range(400)]
+    data += [(2000 + i, "a b c d " * 10, f"s{i % 29:02d}") for i in range(290)] + [(3000, "x " * 5000, "a"), (3001, None, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    got = sorted(tuple(r) for r in mixing.mix(docs).collect())
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", data)
+    want = sorted(con.execute(mixing.ORACLE_SQL).fetchall())
+    assert got == want
+    assert 0 < sum(r[4] for r in got if r[0] < 600) < sum(r[1] for r in got if r[0] < 600) / 4
+
+
 def test_mixing(docs):
     got = by_id(mixing.mix(docs))
     sizes = {i: r["size"] for i, r in got.items()}
