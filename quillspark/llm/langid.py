@@ -204,15 +204,15 @@ def languages(docs: DataFrame) -> DataFrame:
 def kept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows with a language that holds at least half of the letters, with exactly the input's columns."""
     model = learn(docs.where(~F.coalesce(held_out(), F.lit(False))).select("doc_id", "text", "lang"))
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = shared.value
         for batch in batches:
-            texts = batch.column(names.index("text"))
-            for start in range(0, batch.num_rows, 2000):
-                some = [t or "" for t in texts.slice(start, 2000).to_pylist()]
+            at = 0
+            for _, some in rows(iter([batch.select(["doc_id", "text"])]), 4 << 20):
                 got = labelled(m, some) if m else [(OTHER, 0.0, None)] * len(some)
-                yield batch.slice(start, 2000).filter(pa.array([lang != OTHER and s >= least for lang, s, _ in got]))
+                yield batch.slice(at, len(some)).filter(pa.array([lang != OTHER and s >= least for lang, s, _ in got], pa.bool_()))
+                at += len(some)
 
     return docs.mapInArrow(run, docs.schema)
