@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import quality, rules, text
-from quillspark.operators import pages, tables
+from quillspark.operators import images, pages, tables
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -164,6 +164,18 @@ def document_kind(spark, sf_dir):
     return pages.document_kind(_turns(spark, sf_dir))
 
 
+@_query("SELECT s_suppkey, s_suppkey % 5 >= 2 AND s_suppkey % 3 >= 1 AS valid, CASE WHEN s_suppkey % 5 >= 2 AND s_suppkey % 3 >= 1 THEN s_suppkey % 5 + 1 ELSE 0 END AS n_rows, CASE WHEN s_suppkey % 5 >= 2 AND s_suppkey % 3 >= 1 THEN s_suppkey % 3 + 1 ELSE 0 END AS n_cols FROM supplier")
+def scanned_grids(spark, sf_dir):
+    """Draws a ruled page for each supplier, cells of 100 x 60 and lines two pixels wide, and finds the cells again."""
+    d = _read(spark, sf_dir, "supplier").select("s_suppkey", F.expr("CAST(s_suppkey % 5 + 1 AS INT) AS r"), F.expr("CAST(s_suppkey % 3 + 1 AS INT) AS c"))
+    blank, line = "repeat('FF', 100 * c + 82)", "repeat('FF', 40) || repeat('00', 100 * c + 2) || repeat('FF', 40)"
+    cell = "repeat('FF', 40) || repeat(repeat('00', 2) || repeat('FF', 98), c) || '0000' || repeat('FF', 40)"
+    drawn = f"unhex(repeat({blank}, 40) || repeat(repeat({line}, 2) || repeat({cell}, 58), r) || repeat({line}, 2) || repeat({blank}, 40))"
+    found = images.table_grids(d.selectExpr("s_suppkey AS image_id", "100 * c + 82 AS width", "60 * r + 82 AS height", f"{drawn} AS pixels"))
+    size = lambda x: F.when(F.col("valid"), F.size(x)).otherwise(0).cast("long")
+    return found.select(F.col("image_id").cast("long").alias("s_suppkey"), "valid", size(F.col("grid")).alias("n_rows"), size(F.get("grid", F.lit(0))).alias("n_cols"))
+
+
 def _grids(spark, sf_dir):
     row = F.when(F.col("l_linenumber") % 4 == 0, F.array(F.col("l_partkey").cast("string"))).otherwise(F.array(F.col("l_partkey").cast("string"), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.concat(F.lit(" "), "l_returnflag")), F.col("l_linenumber").cast("string")))
     d = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", row.alias("r"))
