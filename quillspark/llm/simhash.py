@@ -114,7 +114,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one of each component: that with the smallest id; of rows with equal id and text one stays."""
-    d = near_dedup(docs).where("doc_id = component_id OR component_id IS NULL").select("doc_id").distinct()
-    out = docs.join(d, docs["doc_id"].eqNullSafe(d["doc_id"]), "left_semi")
-    return out
+    """The rows of docs, exactly one of each component: by least doc_id, nulls last, then by place. Ids may be null, repeat or clash."""
+    names = docs.columns
+    numbered = staged(docs.withColumn("__quill_row", F.monotonically_increasing_id()), "numbered")
+    groups = near_dedup(numbered.select(F.col("__quill_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("__quill_row"), "component_id")
+    keyed = numbered.select("__quill_row", F.col("doc_id").cast("long").alias("id")).join(groups, "__quill_row")
+    first = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__quill_row")).alias("first")).select("first.__quill_row")
+    return numbered.join(first, "__quill_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])

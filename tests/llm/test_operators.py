@@ -162,6 +162,15 @@ def test_simhash(docs):
     assert got[4]["component_id"] == got[5]["component_id"] == 4
 
 
+def test_one_row_of_each_component(spark):
+    """Repeated rows, ids with two texts, and null ids."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcde")
+    data = [(1, a, "x"), (1, a, "x"), (2, a, "x"), (1, b, "y"), (3, b, "y"), (None, c, "z"), (None, c, "z"), (4, c, "z"), (None, d, "u"), (None, d, "u"), (None, e, "v")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = sorted((tuple(r) for r in simhash.deduplicated(docs).collect()), key=lambda r: r[1])
+    assert got == [(1, a, "x"), (1, b, "y"), (4, c, "z"), (None, d, "u"), (None, e, "v")]
+
+
 def test_links_and_components(spark):
     rng, fps = random.Random(5), set()
     for _ in range(60):  # chains of values that differ in up to three bits
