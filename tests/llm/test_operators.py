@@ -171,6 +171,39 @@ def test_one_row_of_each_component(spark):
     assert got == [(1, a, "x"), (1, b, "y"), (4, c, "z"), (None, d, "u"), (None, e, "v")]
 
 
+def test_near_copies(spark):
+    """Planted near copies, a group of many, and a line that all share, against all pairs."""
+    rng = random.Random(11)
+    base = lambda n: [f"w{rng.randrange(3000)}" for _ in range(n)]
+    texts = [None, "", "one two"]
+    for _ in range(25):
+        w = base(rng.randint(30, 300))
+        for _ in range(3):
+            v = list(w)
+            for _ in range(rng.choice([1, 1, 2, 3, 6])):
+                v[rng.randrange(len(v))] = "changed"
+            texts.append(" ".join(v))
+    hot = base(200)
+    texts += [" ".join([*hot[:k], f"x{k}", *hot[k + 1 :]]) for k in range(60)]
+    texts += ["the same line in very many texts " * 2 + " ".join(base(rng.randint(0, 8))) for _ in range(40)]
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in enumerate(texts)}
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            x, y = find(a), find(b)
+            parent[max(x, y)] = min(x, y)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(d).collect()}
+    assert got == {i: find(i) for i in sets} and len(set(got.values())) < len(texts) - 60
+    assert simhash.deduplicated(d).count() == len(set(got.values()))
+
+
 def test_links_and_components(spark):
     rng, fps = random.Random(5), set()
     for _ in range(60):  # chains of values that differ in up to three bits
