@@ -2,7 +2,7 @@
 
 Each page becomes a list of text blocks with their root-to-leaf tag paths. For every path the text's length and its punctuation
 are summed and divided by the path's blocks; both ratios, smoothed over the page's order and fused by multiplication, score the
-blocks; those over a threshold from the scores' spread are content. The nearest article, main or other container of the
+blocks; those over a threshold from the scores' spread are content. The nearest article, main or other container of all the
 content is the article, and all of its blocks are its text, short paragraphs and headings too. Elements that are never
 part of an article (menus, page headers and footers, sidebars, forms, scripts, and those whose class, id or role says notice, advert,
 comments and the like) are left out first.
@@ -122,17 +122,11 @@ def main_text(page: str | None) -> str:
     fused = smooth(length[place]) * (1 + smooth(marks[place]))
     content = fused >= min(fused.std(), fused.mean()) if len(fused) > 1 else np.array([True])
     weight = np.array([len(t) for _, t in found]) * content
-    # the deepest element with nearly all of the content, then the article, main or other container that it's in
-    total, best, k = weight.sum(), (), 0
-    while True:
-        share: dict = {}
-        for (p, _), w in zip(found, weight):
-            if w and len(p) > k and p[:k] == best:
-                share[p[: k + 1]] = share.get(p[: k + 1], 0) + w
-        top = max(share, key=share.get, default=None)
-        if top is None or share[top] < 0.8 * total:
-            break
-        best, k = top, k + 1
+    # the deepest element with all of the content, then the article, main or other container that it's in
+    held = [p for (p, _), w in zip(found, weight) if w]
+    best = held[0]
+    for p in held:
+        best = best[: next((j for j, (x, y) in enumerate(zip(best, p)) if x != y), min(len(best), len(p)))]
     home = max((j for j, (t, _) in enumerate(best) if t in HOMES), default=None)
     if home is None:
         inside = max((j for j, (t, _) in enumerate(best) if t in ("section", "div", "td", "body", "html")), default=-1)

@@ -256,6 +256,14 @@ def test_html():
     assert html.main_text("<div id=c><p>Some text, here.</p><p>More.</p>") == "Some text, here.\nMore."
 
 
+def test_html_split_article():
+    long = lambda x, n: f"<p>{' '.join([f'{x} sentence, with words.'] * n)}</p>"
+    text = html.main_text(f"<body><div class=story><div>{long('First', 85)}</div><div>{long('Second', 15)}</div></div>")
+    assert "First" in text and "Second" in text
+    text = html.main_text(f"<main><article>{long('Inner', 10) * 9}</article>{long('Beside', 10) * 2}</main>")
+    assert "Inner" in text and "Beside" in text
+
+
 def test_html_query(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>Hi.</p></article>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extracted(d).collect()) == [(1, "Hi.", 3), (2, "", 0)]
