@@ -22,18 +22,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|iframe|svg|head|select|button)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))|<[!?][^>]*(?:>|\Z)",
     re.S | re.I,
 )
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-NEVER = frozenset("nav footer aside form menu dialog fieldset object audio video canvas".split())
+NEVER = frozenset("nav footer aside form menu dialog fieldset object audio video canvas head title button select svg noscript template".split())
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+IN_HEAD = frozenset("title meta link base basefont bgsound noscript template".split())
+SKIPPED = frozenset("button select svg noscript template".split())
+CLOSING = re.compile(r"</(button|select|svg|noscript|template)\b", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？]")
 HOMES = ("article", "main")
 
@@ -53,6 +56,7 @@ def _leave_out(tag: str, attributes: str, path: list[str]) -> bool:
 def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
     """(path, text) of every block that could be content, in page order; a path's steps are tags and the element's number."""
     out, path, held, skip, number, at = [], [], [], 0, 0, 0
+    ends_at = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
 
     def flush():
         if held:
@@ -70,8 +74,11 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
 
     opened: list[tuple[str, int, int]] = []
     for m in TOKEN.finditer(page):
-        if m.start() > at and not skip:
-            held.append(page[at : m.start()])
+        if m.start() > at:
+            if opened and opened[-1][0] == "head" and not page[at : m.start()].isspace():
+                leave(len(opened) - 1)
+            if not skip:
+                held.append(page[at : m.start()])
         at = m.end()
         if m[3] is None:
             continue
@@ -80,6 +87,12 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
             if any(t == tag for t, _, _ in opened):
                 leave(max(k for k, (t, _, _) in enumerate(opened) if t == tag))
             continue
+        if tag not in IN_HEAD:  # the head ends where the body's first element is, with or without a tag
+            if k := [(i,) for i, (t, _, _) in enumerate(opened) if t in ("head", "title")]:
+                leave(k[0][0])
+        over = ("button", "select", "svg") if tag in BLOCKS and tag != "hr" and not any(t == "foreignobject" for t, _, _ in opened) else (tag,) if tag in ("button", "select") else ()
+        if over and (k := [(i,) for i, (t, _, _) in enumerate(opened) if t in over]):
+            leave(k[0][0])
         if tag == "br":
             if not skip:
                 held.append(" ")
@@ -99,11 +112,16 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
             continue
         number += 1
         out_of = int(_leave_out(tag, m[4], [t for t, _, _ in opened]))
+        if tag in SKIPPED and ends_at.get(tag, -1) < at:  # never closed
+            out_of = 0
         opened.append((tag, number, out_of))
         path.append((tag, number))
         skip += out_of
-    if at < len(page) and not skip:
-        held.append(page[at:])
+    if at < len(page):
+        if opened and opened[-1][0] == "head" and not page[at:].isspace():
+            leave(len(opened) - 1)
+        if not skip:
+            held.append(page[at:])
     flush()
     return out
 

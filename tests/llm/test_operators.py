@@ -264,6 +264,11 @@ def test_html_split_article():
     assert "Inner" in text and "Beside" in text
 
 
+@pytest.mark.parametrize("page", ["<head><title>t</title><body><p>Some text.</p>", "<html><head><title>t</title><p>Some text.</p>", "<head><title>t</title>Some text.", *(f"<div><{t}>x</div><p>Some text.</p>" for t in ("button", "select", "svg")), *(f"<{t}><p>Some text.</p>" for t in ("button", "select", "svg", "noscript", "template"))])
+def test_html_unclosed(page):
+    assert html.main_text(page).splitlines()[-1] == "Some text."
+
+
 def test_html_query(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>Hi.</p></article>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extracted(d).collect()) == [(1, "Hi.", 3), (2, "", 0)]
