@@ -5,7 +5,7 @@ are summed and divided by the path's blocks; both ratios, smoothed over the page
 blocks; those over a threshold from the scores' spread are content. The nearest article, main or other container of all the
 content is the article, and all of its blocks are its text, short paragraphs and headings too. Elements that are never
 part of an article (menus, page headers and footers, sidebars, forms, scripts, and those whose class, id or role says notice, advert,
-comments and the like) are left out first.
+comments and the like) are left out first, but not a form or named element that holds the article itself.
 
 Null html is empty; a page without text gives an empty string. Very long and unclosed markup is read to its end.
 Repeated rows give repeated results.
@@ -32,36 +32,63 @@ NEVER = frozenset("nav footer aside form menu dialog fieldset object audio video
 WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer disqus footer header masthead menu menubar modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion recommended related reply replies respond share sharing sidebar sidebars signup skyscraper social sponsor sponsored subscribe subscription teaser toolbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
-NAMED = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
-HIDDEN = re.compile(r"\shidden(?=[\s>=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: What a name may start with before one of WORDS, and what makes a name one of layout or state.
+BEFORE = frozenset("site page left right top bottom global main primary secondary post article user entry social".split())
+LAYOUT = frozenset("no not non without with has is hide hidden layout open enabled disabled visible active content container page body".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("title meta link base basefont bgsound noscript template".split())
 SKIPPED = frozenset("button select svg noscript template".split())
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
 CLOSING = re.compile(r"</(button|select|svg|noscript|template)\b", re.I)
+NONE = re.compile(r"display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?¿¡…。，、；：！？]")
 HOMES = ("article", "main")
 
 
-def _leave_out(tag: str, attributes: str, path: list[str]) -> bool:
-    if tag in NEVER or tag == "header" and not any(h in path for h in HOMES) or HIDDEN.search(attributes):
+def _named(name: str) -> bool:
+    """Whether a class or id as a whole, or by a known beginning, says that it isn't of the article."""
+    tokens = [t for t in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()) if t]
+    if not tokens or LAYOUT.intersection(tokens[1:] if tokens[0] in BEFORE else tokens):
+        return False
+    if tokens[0] in WORDS:
         return True
-    if tag in ("html", "body", *HOMES):
+    if tokens[0] not in BEFORE or len(tokens) < 2 or tokens[1] not in WORDS:
         return False
-    for kind, value in NAMED.findall(attributes):
-        tokens = re.findall(r"[a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-        if kind.lower() == "role" and ROLES.intersection(tokens) or kind.lower() != "role" and WORDS.intersection(tokens):
-            return True
-    return False
+    return not (tokens[1] in ("header", "masthead") and tokens[0] in ("main", "post", "article", "entry", "page"))
+
+
+def _leave_out(tag: str, attributes: str, path: list[str]) -> int:
+    """2: never part of an article; 1: said to be none, by its name or as a form; 0: may be."""
+    has: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(attributes):
+        has.setdefault(name.lower(), entities.unescape(value.strip("\"'")))
+    if "hidden" in has or has.get("aria-hidden", "").strip().lower() == "true" or NONE.search(has.get("style", "")):
+        return 2
+    if tag in ("form", "fieldset"):
+        return 1
+    if tag in NEVER or tag == "header" and not any(h in path for h in HOMES):
+        return 2
+    if tag in ("html", "body", *HOMES, *HEADINGS):
+        return 0
+    if ROLES.intersection(has.get("role", "").lower().split()) or any(map(_named, [*has.get("class", "").split(), has.get("id", "")])):
+        return 1 if tag in BLOCKS or "-" in tag else 2
+    return 0
 
 
 def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
-    """(path, text) of every block that could be content, in page order; a path's steps are tags and the element's number."""
+    """(path, text) of every block that could be content, in page order; a path's steps are tags and the element's number.
+
+    An element that is left out only for its name or as a form stays where no article or main lies outside of such elements and it holds a
+    fourth of the page's text with an article or main in it, or over half of the text.
+    """
     out, path, held, skip, number, at = [], [], [], 0, 0, 0
-    ends_at = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
+    said: list[int] = []  # the open elements that are left out by name
+    homes, ends_at = [], {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
 
     def flush():
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append((tuple(p for p in path if p[0] in BLOCKS), text))
+                out.append((tuple(p for p in path if p[0] in BLOCKS), text, tuple(said)))
             held.clear()
 
     def leave(k: int):
@@ -69,7 +96,10 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
         nonlocal skip
         if any(t in BLOCKS for t, _, _ in opened[k:]):
             flush()
-        skip -= sum(s for _, _, s in opened[k:])
+        skip -= sum(s == 2 for _, _, s in opened[k:])
+        if gone := sum(s == 1 for _, _, s in opened[k:]):
+            flush()
+            del said[-gone:]
         del opened[k:], path[k:]
 
     opened: list[tuple[str, int, int]] = []
@@ -111,19 +141,32 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
         if tag in VOID:
             continue
         number += 1
-        out_of = int(_leave_out(tag, m[4], [t for t, _, _ in opened]))
+        out_of = _leave_out(tag, m[4], [t for t, _, _ in opened])
         if tag in SKIPPED and ends_at.get(tag, -1) < at:  # never closed
             out_of = 0
+        if out_of == 1:
+            flush()
+            said.append(number)
+        if tag in HOMES and not skip:
+            homes.append(tuple(said))
         opened.append((tag, number, out_of))
         path.append((tag, number))
-        skip += out_of
+        skip += out_of == 2
     if at < len(page):
         if opened and opened[-1][0] == "head" and not page[at:].isspace():
             leave(len(opened) - 1)
         if not skip:
             held.append(page[at:])
     flush()
-    return out
+    stay: set[int] = set()
+    if () not in homes:
+        total, size = sum(len(t) for _, t, _ in out), {}
+        for _, t, names in out:
+            for x in names:
+                size[x] = size.get(x, 0) + len(t)
+        around = {x for names in homes for x in names}
+        stay = {x for x, n in size.items() if 2 * n > total or x in around and 4 * n >= total}
+    return [(p, t) for p, t, names in out if stay.issuperset(names)]
 
 
 def main_text(page: str | None) -> str:

@@ -269,6 +269,13 @@ def test_html_unclosed(page):
     assert html.main_text(page).splitlines()[-1] == "Some text."
 
 
+@pytest.mark.parametrize("attributes", ["class='content no-sidebar'", "class=has-sidebar", "class='with-comments'", "data-id=sidebar", "class='x hidden md:block'", "title='the hidden truth'", "class=sidebar", "id=comments"])
+def test_html_names(attributes):
+    body = "<h1 class='section-header'>Title</h1><p>Some text, and more.</p>"
+    assert html.main_text(f"<body><div {attributes}><article>{body}</article></div><div class='sidebar'><p>Side, one.</p></div>") == "Title\nSome text, and more."
+    assert "Side" not in html.main_text(f"<article>{body}</article><div class='sidebar left'><p>Side, one.</p></div><div id=site-footer>Foot.</div>")
+
+
 def test_html_query(spark):
     d = spark.createDataFrame([(1, "u", "<article><p>Hi.</p></article>"), (2, None, None)], "page_id long, url string, html string")
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html.extracted(d).collect()) == [(1, "Hi.", 3), (2, "", 0)]
