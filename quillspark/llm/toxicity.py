@@ -5,8 +5,9 @@ out-of-fold predictions of it, so that they learn how far to trust it. Models ar
 chosen words and word beginnings and a few measures of the text. The chain of the query is low_quality, then toxic.
 
 Training takes a bounded sample of labelled rows: about SAMPLE rows are expected, drawn by a hash of doc_id. Features are counted and
-chosen in Spark, FEATURES at most; the sample's rows reach the driver only as the numbers of their chosen features. Null text is empty. Null labels
-and labels without a document are left out; where a document has several labels the greater holds. Without
+chosen in Spark, FEATURES at most, by chi-square for and against each category; the sample's rows reach the driver only as the numbers of
+their chosen features. Null text is empty. Each category is learned from the rows with its own label, whatever the others are;
+labels without a document are left out; where a document has several labels the greater holds. Without
 labels every probability is 0. Repeated rows are scored alike.
 """
 
@@ -24,6 +25,8 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import rows, two
 
 SAMPLE, FEATURES, FOLDS, LEAST = 8000, 4096, 5, 4
+#: The chi-square of one degree of freedom that chance exceeds once in a thousand times.
+CHANCE = 10.83
 WORD = re.compile(r"[^\W\d_]+")
 MEASURES = 4
 
@@ -75,14 +78,14 @@ def fit_one(indices: list[np.ndarray], dense: np.ndarray, y: np.ndarray, m: int,
 
 
 def fit_chain(categories: list[str], columns: dict[str, int], keys: np.ndarray, indices: list[np.ndarray], dense: np.ndarray, labels: np.ndarray) -> Chain:
-    """Each model in turn; what later models see of earlier ones are predictions for rows not trained on."""
+    """Each model in turn, over the rows with its label (-1: none); what later models see of earlier ones are predictions for rows not trained on."""
     m, chain, fold = len(columns), Chain(categories, columns), keys % FOLDS
     for c in range(len(categories)):
-        y = labels[:, c].astype(float)
+        y, has = labels[:, c].astype(float), labels[:, c] >= 0
         if c + 1 < len(categories):
             oof = np.zeros(len(y))
             for f in range(FOLDS):
-                train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
+                train, test = np.flatnonzero((fold != f) & has), np.flatnonzero(fold == f)
                 if not len(train) or not len(test):
                     continue
                 part = fit_one([indices[i] for i in train], dense[train], y[train], m)
@@ -90,7 +93,11 @@ def fit_chain(categories: list[str], columns: dict[str, int], keys: np.ndarray,
                 row = np.repeat(np.arange(len(test)), [len(i) for i in some])
                 z = np.bincount(row, part[np.concatenate(some)], len(test)) + dense[test] @ part[m:-1] + part[-1]
                 oof[test] = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        chain.weights.append(fit_one(indices, dense, y, m))
+        mine = np.flatnonzero(has)
+        if len(mine):
+            chain.weights.append(fit_one([indices[i] for i in mine], dense[mine], y[mine], m))
+        else:
+            chain.weights.append(np.append(np.zeros(m + dense.shape[1]), -30.0))
         if c + 1 < len(categories):
             dense = np.column_stack([dense, oof])
     return chain
@@ -117,13 +124,13 @@ def _looked_up(columns: dict[str, int], cache: dict, texts: list[str]) -> tuple[
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
     """A chain from documents and labels (doc_id and a 0/1 column a category, in the order of the chain)."""
     categories = [c for c in labels.columns if c != "doc_id"]
-    y = labels.where(" AND ".join(f"`{c}` IS NOT NULL" for c in labels.columns)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(c)).cast("int").alias(c) for c in categories])
+    y = labels.where("doc_id IS NOT NULL").where(F.coalesce(*categories).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(c)).cast("int").alias(c) for c in categories])
     total = y.count()
     if not total:
         return Chain(categories)
     share = min(1.0, sample / total)
     drawn = y.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows_ = two(docs).join(drawn, "doc_id").select("doc_id", "text", F.array(*categories).alias("y"))
+    rows_ = two(docs).join(drawn, "doc_id").select("doc_id", "text", F.array(*[F.coalesce(c, F.lit(-1)) for c in categories]).alias("y"))  # -1: no label
     n_cat = len(categories)
 
     def tally(batches):
@@ -133,16 +140,17 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
                 for f in {f for w in set(WORD.findall((text or "").lower())) for f in features_of(w)}:
                     seen[f, tuple(label)] += 1
         if seen:
-            yield pa.RecordBatch.from_pylist([{"f": f, "n": n, "p": [n * x for x in lab]} for (f, lab), n in seen.items()], schema=pa.schema([("f", pa.string()), ("n", pa.int64()), ("p", pa.list_(pa.int64()))]))
+            yield pa.RecordBatch.from_pylist([{"f": f, "n": [n * (x >= 0) for x in lab], "p": [n * (x > 0) for x in lab]} for (f, lab), n in seen.items()], schema=pa.schema([("f", pa.string()), ("n", pa.list_(pa.int64())), ("p", pa.list_(pa.int64()))]))
 
-    counts = rows_.mapInArrow(tally, "f string, n long, p array<long>").groupBy("f").agg(F.sum("n").alias("n"), *[F.sum(F.get("p", F.lit(c))).alias(f"p{c}") for c in range(n_cat)])
-    base = drawn.agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in categories]).collect()[0]
+    counts = rows_.mapInArrow(tally, "f string, n array<long>, p array<long>").groupBy("f").agg(*[F.sum(F.get(x, F.lit(c))).alias(f"{x}{c}") for c in range(n_cat) for x in "np"])
+    base = rows_.agg(*[F.count_if(F.get("y", F.lit(c)) >= 0).alias(f"n{c}") for c in range(n_cat)], *[F.count_if(F.get("y", F.lit(c)) > 0).alias(f"p{c}") for c in range(n_cat)]).collect()[0]
     chosen: dict[str, int] = {}
     for c in range(n_cat):
-        p, n, a, b = F.col(f"p{c}").cast("double"), F.col("n").cast("double"), float(base[categories[c]] or 0), float(base["n"])
-        expected = n * a / b
-        worth = F.when(p > expected, (p - expected) ** 2 / (expected + 0.5))  # features that speak for the category
-        for r in counts.where((F.col(f"p{c}") >= LEAST) & (p > 2 * expected)).orderBy(worth.desc(), "f").limit(FEATURES // n_cat).select("f").collect():
+        p, n, a, b = F.col(f"p{c}").cast("double"), F.col(f"n{c}").cast("double"), float(base[f"p{c}"]), float(base[f"n{c}"])
+        if not 0 < a < b:
+            continue
+        worth = b * (p * b - n * a) ** 2 / (n * (b - n) * a * (b - a))  # chi-square, for or against the category
+        for r in counts.where((F.col(f"n{c}") >= LEAST) & (F.col(f"n{c}") < b)).withColumn("worth", worth).where(F.col("worth") >= CHANCE).orderBy(F.desc("worth"), "f").limit(FEATURES // n_cat).select("f").collect():
             chosen.setdefault(r["f"], len(chosen))
 
     def looked_up(batches):

@@ -312,3 +312,19 @@ def test_toxicity(spark):
     assert sum(caught) >= 0.9 * len(caught) and sum(clean) <= 0.02 * len(clean)
     none = toxicity.toxicity(d.limit(3), labels.limit(0)).collect()
     assert len(none) == 3 and not any(r["toxic"] for r in none)
+
+
+@pytest.mark.parametrize("share, quality", [(0.5, 1), (0.85, 1), (0.15, None)])
+def test_toxicity_label_shares(spark, share, quality):
+    """Balanced and toxic-heavy labels, and toxic rows whose quality isn't known; plain words only."""
+    rng, data = random.Random(7), []
+    for i in range(900):
+        bad = rng.random() < share
+        words = [f"plain{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(8))}" for _ in range(30)] + [rng.choice("grumpf blargh snarfle wozzick drubbin".split()) for _ in range(2 * bad)]
+        rng.shuffle(words)
+        data.append((i, " ".join(words), quality if bad else i % 2, int(bad)))
+    d = spark.createDataFrame(data, "doc_id long, text string, quality int, toxic int").repartition(2)
+    y = d.where("doc_id < 600").selectExpr("doc_id", "1 - quality AS low_quality", "toxic")
+    got = {r["doc_id"]: r["toxic"] for r in toxicity.scored(d.where("doc_id >= 600"), toxicity.learn(d, y)).collect()}
+    caught, clean = ([got[i] for i, _, _, bad in data if i >= 600 and bad == k] for k in (1, 0))
+    assert sum(caught) >= 0.95 * len(caught) and sum(clean) <= 0.05 * len(clean)
