@@ -1,13 +1,13 @@
 """Operator 3, byte-level BPE encoding and decoding over a distinct-word table.
 
 A *word* here is a stretch that the tokenizer's own splitting never joins with its neighbours: a run of non-blanks with at most
-one space before it, or a run of blanks. Words are split in Spark (one pass, one local dictionary for a chunk of documents); the
+one space before it, or a run of blanks; the library itself is asked which characters are white space. Words are split in Spark (one pass, one local dictionary for a chunk of documents); the
 chunks' distinct words are dealt out by a hash, so that each distinct word of the corpus meets in one place and is encoded once;
 its ids go back to every chunk by position in the chunk's dictionary. Decoding looks each id up in the id-to-piece table, whose size
 is the vocabulary's.
 
 What is shuffled is one entry per chunk and distinct word, never one per occurrence: a word that makes up a third of the corpus
-weighs as much as any other. Null text is empty: no ids. Special tokens that occur in a text get their ids, as in the library.
+weighs as much as any other. Long texts are cut into words by stretches. Rows with equal or null ids stay separate rows. Null text is empty: no ids. Special tokens that occur in a text get their ids, as in the library.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +26,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import new_path, rows, two
+from quillspark.llm.common import bucketed, rows, two
 
-#: White space as the tokenizer's pattern sees it (fixed values).
-WS = r"\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPLIT = re.compile(f" ?[^{WS}]+|[{WS}]+(?![^{WS}])|[{WS}]+")
-#: Characters that libraries class differently, as white space or not; a text with one is a single word.
-UNSURE = re.compile(r"[\x1c-\x1f\x85\u180e\u200b-\u200f\u2060-\u2064\ufeff]")
+#: Characters that some library or Unicode version classes as white space; of each, the vocabulary's own library is asked (fixed values).
+MAYBE_WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e" + "".join(map(chr, range(0x2000, 0x2010))) + "".join(map(chr, range(0x2028, 0x2030))) + "".join(map(chr, range(0x205F, 0x2065))) + "\u3000\ufeff"
 #: Characters that every Unicode version classes alike; other words go through the tokenizers library itself.
 SURE = re.compile(r"[\t-\r -~\xa0-\u0220\u0250-\u02ad\u0400-\u0481\u1e00-\u1e9b\u2010-\u2027\u2030-\u205e\u20ac]*").fullmatch
 CHUNK = 24 << 20  # bytes of text in a chunk
-CODES, BUCKETS_MB = 400_000, 64
+CODES = 400_000
+PIECE = 1 << 20  # characters of a text that are cut into words at once
+MOST, MOST_CHARS = 300_000, 6 << 20  # words, and characters of words, that a worker's table holds
 
 
 def default_vocabulary() -> str:
@@ -75,14 +74,48 @@ class Bpe:
         self.pieces = pa.array(pieces, pa.binary())
         self.decimals = pa.array([f"{i},".encode() for i in range(len(pieces))], pa.binary())
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
+        ws = re.escape("".join(c for c in MAYBE_WHITE if self._white(c)))
+        self.visible = re.compile(f"[^{ws}]").search
+        self.split = re.compile(f" ?[^{ws}]+|[{ws}]+(?![^{ws}])|[{ws}]+").findall
+        self.seam = re.compile(f"[^{ws}](?=[{ws}])").search
+
+    def _white(self, c: str) -> bool:
+        """Whether the library's own splitting takes c for white space: of a run of it the last is parted, and only a space goes with what follows."""
+        return any(start == 2 for _, (start, _) in self.library.pre_tokenizer.pre_tokenize_str(f"a {c}b"))
 
     def words(self, text: str) -> list[str]:
         """Stretches of text, in order and without loss, whose encodings make up the text's."""
-        if UNSURE.search(text):
-            return [text]
-        if any(s in text for s in self.special):
-            return [w for part in self.specials.split(text) if part for w in ([part] if part in self.special else SPLIT.findall(part))]
-        return SPLIT.findall(text)
+        return [w for some in self.cut(text) for w in some]
+
+    def cut(self, text: str) -> Iterator[list[str]]:
+        """The same in lists of a bounded stretch of text each (or one word, if it is longer)."""
+        for part in self.specials.split(text) if self._has_special(text) else (text,):
+            if part in self.special:
+                yield [part]
+            else:
+                for at, end in self._stretches(part):
+                    yield self.split(part, at, end)
+
+    def _has_special(self, text: str) -> bool:
+        return any(s in text for s in self.special)
+
+    def _stretches(self, text: str) -> Iterator[tuple[int, int]]:
+        """Bounds of stretches that end where white space begins."""
+        at = 0
+        while at < len(text):
+            end = at + PIECE
+            if end < len(text):
+                end = m.end() if (m := self.seam(text, end)) else len(text)
+            yield at, min(end, len(text))
+            at = end
+
+    def whole(self, text: str) -> list[int] | None:
+        """The ids of a text that the rank-based encoder reads as the library does; None for other texts, which go by words."""
+        if not SURE(text) or self._has_special(text):
+            return None
+        if len(text) <= PIECE:
+            return self.fast.encode_ordinary(text)
+        return [i for at, end in self._stretches(text) for i in self.fast.encode_ordinary(text[at:end])]
 
     def ids(self, word: str) -> list[int]:
         if SURE(word) and word not in self.special:
@@ -121,37 +154,49 @@ def ragged(lens: np.ndarray, starts: np.ndarray, flat: np.ndarray, codes: np.nda
 
 
 class WordIds:
-    """Ids of many texts by way of a bounded per-worker word table."""
+    """Ids of many texts by way of a per-worker word table, which is emptied when it holds too many words or characters."""
 
-    def __init__(self, path: str, most: int = 400_000):
-        self.bpe, self.most = bpe(path), most
+    def __init__(self, path: str, most: int = MOST, chars: int = MOST_CHARS):
+        self.bpe, self.most, self.most_chars = bpe(path), most, chars
         self.clear()
 
     def clear(self) -> None:
         self.code: defaultdict[str, int] = defaultdict(count().__next__)
-        self.lens, self.flat, self.known = [], [], 0
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
-        """Ids of all texts, how many ids each word has, how many words each text has, and the words."""
-        if len(self.code) > self.most:
+        self.known = self.used = self.chars = 0
+        self.lens, self.starts, self.flat = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), np.zeros(1 << 14, np.int32)
+
+    def _learn(self) -> None:
+        """Encode the words that came in since the last time."""
+        new = list(islice(self.code, self.known, None))
+        ids = [self.bpe.ids(w) for w in new]
+        n = np.fromiter(map(len, ids), np.int64, len(ids))
+        ends, total = self.used + np.cumsum(n), self.used + int(n.sum())
+        if len(self.code) > len(self.lens):
+            self.lens, self.starts = (np.concatenate([x, np.zeros(len(self.code), np.int64)]) for x in (self.lens, self.starts))
+        if total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(total, np.int32)])
+        self.lens[self.known : len(self.code)], self.starts[self.known : len(self.code)] = n, ends - n
+        self.flat[self.used : total] = np.fromiter(chain.from_iterable(ids), np.int32, int(n.sum()))
+        self.known, self.used, self.chars = len(self.code), total, self.chars + sum(map(len, new))
+
+    def encode(self, texts: list[str], keep: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[str]]]:
+        """Ids of all texts, how many ids each word has, how many words each text has, and with keep each text's words."""
+        if self.known > self.most or self.chars > self.most_chars:
             self.clear()
-        words = [self.bpe.words(t) for t in texts]
-        get = self.code.__getitem__
-        codes = np.fromiter((c for w in words for c in map(get, w)), np.int64, sum(map(len, words)))
+        codes, sizes, words, get = [np.zeros(0, np.int32)], [], [], self.code.__getitem__
+        for t in texts:
+            n, mine = 0, []
+            for some in self.bpe.cut(t):
+                codes.append(np.fromiter(map(get, some), np.int32, len(some)))
+                n += len(some)
+                if keep:
+                    mine += some
+            sizes.append(n)
+            words.append(mine)
         if len(self.code) > self.known:
-            from itertools import islice
-
-            for w in islice(self.code, self.known, None):
-                ids = self.bpe.ids(w)
-                self.lens.append(len(ids))
-                self.flat += ids
-            self.known = len(self.code)
-            self._lens = np.array(self.lens, np.int64)
-            self._starts, self._flat = np.cumsum(self._lens) - self._lens, np.array(self.flat, np.int32)
-        if not len(codes):
-            return np.zeros(0, np.int32), np.zeros(0, np.int64), np.array([len(w) for w in words], np.int64), words
-        ids, n = ragged(self._lens, self._starts, self._flat, codes)
-        return ids, n, np.array([len(w) for w in words], np.int64), words
+            self._learn()
+        ids, n = ragged(self.lens, self.starts, self.flat, np.concatenate(codes))
+        return ids, n, np.array(sizes, np.int64), words
 
 
 def _split(path: str, buckets: int, size: int):
@@ -184,11 +229,14 @@ def _split(path: str, buckets: int, size: int):
             return {"chunk": (part << 32) + seq, "doc_ids": ids, "counts": counts, "codes": press(planes), "firsts": firsts.tolist(), "words": lists}
 
         for some, texts in rows(batches):
-            words = [own.words(t) for t in texts]
-            counts += [len(w) for w in words]
-            ids += some
             get = code.__getitem__
-            codes.append(np.fromiter((c for w in words for c in map(get, w)), np.int32, sum(map(len, words))))
+            for t in texts:
+                n = 0
+                for words in own.cut(t):
+                    codes.append(np.fromiter(map(get, words), np.int32, len(words)))
+                    n += len(words)
+                counts.append(n)
+            ids += some
             held += sum(map(len, texts))
             if held >= size:
                 yield pa.RecordBatch.from_pylist([chunk()], schema=CHUNKS)
@@ -290,10 +338,8 @@ def encode_decode(docs: DataFrame, vocabulary: str | None = None, keep_ids: bool
     """
     spark, path = docs.sparkSession, vocabulary or default_vocabulary()
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = "quillspark_chunks_" + (at := new_path(spark, "bpe")).rpartition("-")[2]
     schema = "chunk long, doc_ids array<long>, counts array<long>, codes binary, firsts array<int>, words array<binary>"
-    two(docs).mapInArrow(_split(path, n, chunk), schema).write.option("path", at).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
-    chunks = spark.table(name)
+    chunks = bucketed(two(docs).mapInArrow(_split(path, n, chunk), schema), "chunk", "chunks", deal=False)
     words = chunks.select("chunk", "firsts", F.posexplode("words").alias("bucket", "words")).select(
         "chunk", "bucket", "words", F.get("firsts", F.col("bucket")).alias("first"), (F.get("firsts", F.col("bucket") + 1) - F.get("firsts", F.col("bucket"))).alias("n")
     ).where("n > 0")

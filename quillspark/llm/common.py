@@ -18,9 +18,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a local one only where the cluster names none."""
+    """The folder that the driver and all executors see. Only a local master, whose executors are the driver, may do without the setting."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="quillspark-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -33,29 +35,47 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def new_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver's Python ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def at_exit(f) -> None:
+    """Run f when the driver's Python ends."""
 
     def gone():
         try:
-            delete(spark, path)
-        except Exception:  # the session may be gone; the cluster then owns the folder
+            f()
+        except Exception:  # the session may be gone; the cluster then owns what is left
             pass
 
     atexit.register(gone)
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver's Python ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    at_exit(lambda: delete(spark, path))
     return path
 
 
-def staged(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage ends at files that survive lost executors."""
+def staged(df: DataFrame, name: str, files: int | None = None, **options) -> DataFrame:
+    """Write df once to the shared folder, in so many files at most, and read it back: lineage ends at files that survive lost executors."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.options(compression="zstd", **options).parquet(path)
+    (df.coalesce(files) if files else df).write.options(compression="zstd", **options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows(batches: Iterator[pa.RecordBatch], limit: int = 8 << 20) -> Iterator[tuple[list, list[str]]]:
+def bucketed(df: DataFrame, key: str, name: str, deal: bool = True) -> DataFrame:
+    """The same as a table in buckets of key, as many as shuffle partitions, so that joins on key move the other side only.
+
+    deal: shuffle by key first, so that each bucket is one file. Its entry in the catalog goes when the driver's Python ends.
+    """
+    spark = df.sparkSession
+    n, path = int(spark.conf.get("spark.sql.shuffle.partitions")), new_path(spark, name)
+    entry = f"quillspark_{name}_{path.rpartition('-')[2]}"
+    (df.repartition(n, key) if deal else df).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(entry)
+    at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {entry}"))
+    return spark.table(entry)
+
+
+def rows(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of Arrow batches of two columns, cut at about limit bytes of text; a null text is empty."""
     for batch in batches:
         texts = batch.column(1)
@@ -72,6 +92,14 @@ def two(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
+def own_name(name: str, taken) -> str:
+    """A column name that none of taken has, whatever their case."""
+    low, name = {t.lower() for t in taken}, "__quill_" + name
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -6,14 +6,17 @@ most of its labelled letters, and its score their share.
 
 The model counts n-grams of a bounded sample: documents with a language, in the learning part, drawn by a hash so that about
 SAMPLE of each language are expected; counting is distributed and what reaches the driver is a table of languages by bins, whose
-size is fixed. Only text and lang are learned from. Null text and text without letters give 'und' and score 0. Words whose script no language
-has are neutral. Ties go to the language first by code points. An empty table, or one without labels, gives 'und' for all.
+size is that of the languages times BINS. Only text and lang are learned from. Null text and text without letters (numerals such as fractions
+are none) give 'und' and score 0. Words whose script no language has are neutral. Ties go to the language first by code points. An empty
+table, or one without labels, gives 'und' for all. A null doc_id isn't held out; repeated rows are labelled alike. Texts are labelled in
+slices, words are scored in blocks and long texts cut into words by stretches, so a worker's memory doesn't grow with a text's distinct words.
 """
 
 from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import count
 
@@ -25,7 +28,24 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import rows, two
 
 SAMPLE, BINS, PENALTY, OTHER = 1500, 1 << 16, 20.0, "und"
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters of distinct words that are scored at once, characters of text that are cut into words at once, words that are traced at once.
+LETTERS, PIECE, STEP = 1 << 18, 1 << 20, 1 << 18
+SLICE = 2 << 20  # bytes of text that are labelled together
+
+
+def _class(chars: list[int]) -> str:
+    """Code points in order as ranges of a pattern's class."""
+    out: list[list[int]] = []
+    for c in chars:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{z:08x}" for a, z in out)
+
+
+#: Runs of letters: of word characters without digits, other numerals (fractions, Roman ones, powers) and the underscore.
+WORD = re.compile(rf"[^\W\d_{_class([c for c in range(0x110000) if chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal()])}]+")
 #: Where script ranges start, and each range's script (fixed values).
 STARTS = np.array([0x0, 0x370, 0x400, 0x530, 0x590, 0x600, 0x900, 0x980, 0xE00, 0x10A0, 0x1100, 0x1200, 0x1E00, 0x1F00, 0x2000, 0x3040, 0x3100, 0x3400, 0xAC00, 0xD7B0, 0xF900, 0xFB00, 0xFF00, 0x20000])
 SCRIPTS = np.array([0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 0, 1, 0, 12, 13, 13, 10, 0, 13, 0, 0, 13])
@@ -57,8 +77,16 @@ class Model:
 
     def score(self, words: list[str]) -> np.ndarray:
         """Words by languages; a language that a word's script excludes has a low score, unless the script excludes all."""
-        if not words:
-            return np.zeros((0, len(self.langs)), np.float32)
+        out, k = np.zeros((len(words), len(self.langs)), np.float32), 0
+        while k < len(words):  # a block of words at a time: what a gram takes is many times its letter
+            start, size = k, 0
+            while k < len(words) and (k == start or size + len(words[k]) <= LETTERS):
+                size += len(words[k])
+                k += 1
+            out[start:k] = self._block(words[start:k])
+        return out
+
+    def _block(self, words: list[str]) -> np.ndarray:
         grams, starts, script = _grams(words)
         s = np.add.reduceat(self.weights[grams].sum(1), starts, axis=0)
         s -= s.max(1, keepdims=True)
@@ -84,10 +112,11 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         total = np.zeros((len(langs), size), np.int64)
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if words := WORD.findall(text.lower()):
-                    grams, _, script = _grams(words)
-                    total[at[lang], :BINS] += np.bincount(grams.ravel(), minlength=BINS)
-                    total[at[lang], BINS:] += np.bincount(script, minlength=N_SCRIPTS)
+                for words in words_of(text):
+                    if words:
+                        grams, _, script = _grams([w.lower() for w in words])
+                        np.add.at(total[at[lang]], grams.ravel(), 1)
+                        np.add.at(total[at[lang]], BINS + script, 1)
         lang, b = np.nonzero(total)
         if len(b):
             yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(b, pa.int32()), pa.array(total[lang, b], pa.int64())], ["lang", "bin", "n"])
@@ -110,7 +139,7 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
     starts = np.cumsum(lens) - lens
     flat = np.concatenate([scores[d] for d in order])
     best = flat[starts[lens > 0]].astype(np.float64)
-    stay, top = np.ones(flat.shape, bool), np.zeros(len(flat), np.int64)
+    stay, top = np.ones(flat.shape, bool), np.zeros(len(flat), np.int32)
     for t in range(1, lens[0]):
         k = int(np.searchsorted(-lens, -t, "left"))  # documents with more than t words
         v = best[:k]
@@ -133,30 +162,58 @@ def viterbi(scores: list[np.ndarray], penalty: float = PENALTY) -> list[np.ndarr
     return out
 
 
+def words_of(text: str) -> Iterator[list[str]]:
+    """The words of a text, in lists of a bounded stretch each."""
+    at = 0
+    while at < len(text):
+        end = at + PIECE
+        if end < len(text):  # on to the end of the word
+            end = m.end() if (m := WORD.match(text, end)) else end
+        yield WORD.findall(text, at, end)
+        at = end
+
+
+def _one_label(codes: np.ndarray, table: np.ndarray) -> int | None:
+    """The label of all words, if no other language gains half the penalty over any stretch: then no switch pays."""
+    total = np.zeros(table.shape[1])
+    for k in range(0, len(codes), STEP):
+        total += table[codes[k : k + STEP]].sum(0, dtype=np.float64)
+    b = int(total.argmax())
+    before, low = np.zeros(table.shape[1]), np.zeros(table.shape[1])
+    for k in range(0, len(codes), STEP):
+        s = table[codes[k : k + STEP]]
+        gain = np.concatenate([before[None], before + np.cumsum(s - s[:, b : b + 1], axis=0, dtype=np.float64)])
+        least = np.minimum(np.minimum.accumulate(gain, axis=0), low)
+        if (gain[1:] - least[:-1]).max() > PENALTY / 2:
+            return None
+        before, low = gain[-1], least[-1]
+    return b
+
+
 def labelled(model: Model, texts: list[str]) -> list[tuple[str, float, list[np.ndarray]]]:
     """Language, score and each word's label of every text.
 
-    A document keeps one label throughout if no other language gains half the penalty over any stretch of it: then no switch pays.
+    Documents with one label throughout are told without tracing (_one_label); the others are traced, about STEP words at once.
     """
     code: defaultdict[str, int] = defaultdict(count().__next__)
     get = code.__getitem__
-    words = [np.fromiter(map(get, WORD.findall(t.lower())), np.int64) for t in texts]
-    table = model.score(list(code))
+    words = [np.concatenate([np.zeros(0, np.int32), *(np.fromiter(map(get, some), np.int32, len(some)) for some in words_of(t))]) for t in texts]
+    table = model.score([w.lower() for w in code])
     size = np.fromiter(map(len, code), np.int64, len(code))
     labels: list = [None] * len(texts)
-    open_, open_scores = [], []
+    open_: list[int] = []
     for d, w in enumerate(words):
-        s = table[w]
-        b = int(s.sum(0, dtype=np.float64).argmax()) if len(w) else 0
-        gain = np.cumsum(s - s[:, b : b + 1], axis=0, dtype=np.float64)
-        low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
-        if len(w) and (gain - np.concatenate([np.zeros((1, s.shape[1])), low[:-1]])).max() > PENALTY / 2:
+        b = _one_label(w, table) if len(w) else 0
+        if b is None:
             open_.append(d)
-            open_scores.append(s)
         else:
-            labels[d] = np.full(len(w), b)
-    for d, found in zip(open_, viterbi(open_scores)):
-        labels[d] = found
+            labels[d] = np.full(len(w), b, np.int32)
+    while open_:
+        some, n = [open_.pop()], 0
+        while open_ and (n := n + len(words[open_[-1]])) < STEP:
+            some.append(open_.pop())
+        for d, found in zip(some, viterbi([table[words[d]] for d in some])):
+            labels[d] = found.astype(np.int32)
     out = []
     for d, w in enumerate(words):
         if not len(w):
@@ -189,7 +246,7 @@ def identified(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
     def run(batches):
         m = shared.value
-        for ids, texts in rows(batches):
+        for ids, texts in rows(batches, SLICE):
             got = labelled(m, texts) if m else [(OTHER, 0.0, None)] * len(texts)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["doc_id", "lang_pred", "score"])
 
@@ -209,8 +266,8 @@ def kept(docs: DataFrame, least: float = 0.5) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            at = 0
-            for _, some in rows(iter([batch.select(["doc_id", "text"])]), 4 << 20):
+            at, two_of = 0, batch.select(["doc_id", "text"])
+            for _, some in rows(iter([two_of]), SLICE):
                 got = labelled(m, some) if m else [(OTHER, 0.0, None)] * len(some)
                 yield batch.slice(at, len(some)).filter(pa.array([lang != OTHER and s >= least for lang, s, _ in got], pa.bool_()))
                 at += len(some)

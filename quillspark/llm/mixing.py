@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import WORD, staged
+from quillspark.llm.common import WORD, own_name, staged
 
 WEIGHTS, MOST = (5, 2, 1), 3
 DIGITS, BINS, LAST_BIN, IDLE = 3, 2048, 8191, 4096  # hexadecimal digits of a bucket of the shuffle; bins of virtual time; parts of what is never taken
@@ -42,11 +42,10 @@ def targets(sizes: DataFrame) -> DataFrame:
     return level.select("source", "source_size", F.least(cap.cast("double"), weight * F.col("level.rest") / F.col("level.share")).alias("target"))
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """row, doc_id, source, size: written once, so that the text is read once and rows keep their numbers."""
+def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """row, doc_id, source, size: written once, so that the text is read once and rows keep their numbers. row: the column that has them already."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    row = F.col("__quill_row") if "__quill_row" in docs.columns else F.monotonically_increasing_id()
-    return staged(docs.select(row.alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
+    return staged(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
 
 
 def queue(sizes: DataFrame) -> DataFrame:
@@ -87,10 +86,10 @@ def mix(docs: DataFrame) -> DataFrame:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of docs as often as it is taken, with exactly the input's columns."""
     names = docs.columns
-    numbered = staged(docs.withColumn("__quill_row", F.monotonically_increasing_id()), "numbered")
-    times = queue(sized(numbered)).where("taken").groupBy(F.col("row").alias("__quill_row")).agg(F.count("*").cast("int").alias("__quill_n"))
-    both = numbered.join(times, "__quill_row")
-    return both.withColumn("__quill_n", F.explode(F.sequence(F.lit(1), F.col("__quill_n")))).select(*[F.col(f"`{c}`") for c in names])
+    row, n = own_name("row", names), own_name("n", names)
+    numbered = staged(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    times = queue(sized(numbered, row)).where("taken").groupBy(F.col("row").alias(row)).agg(F.count("*").cast("int").alias(n))
+    return numbered.join(times, row).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*[F.col(f"`{c}`") for c in names])
 
 
 #: The query in DuckDB; like the operator it divides as doubles.

@@ -3,14 +3,16 @@
 A document's fingerprint has a bit set where over half of its shingles' hashes have it. Documents link where fingerprints differ
 in at most two bits; a component's id is its smallest document id.
 
-Equal fingerprints are one class from the start. Classes are filtered on a ring of eight segments: two that link have, from some
-segment on, a chain whose differences stay within budget at each length (none over three segments, one over four to seven, two over all
-eight). A class that shares no such chain of four segments with another class links with none and is left out. The full
-Hamming check of the rest doesn't compare pairs: classes link exactly if a value within one bit of both exists, so each emits those 65
-values, and at most 65 classes meet at a value. Components are then found by alternating stars over these links.
+Equal fingerprints are one class from the start. Candidates come from chains on a ring of eight segments: two classes that link have, from
+some segment on, a chain whose differences stay within the proportional budget at each length (none over three segments, one over four to
+seven, two over all eight). Classes meet in lists of a start and its first three segments; in a list each pair's chain is followed
+segment by segment, and a pair that stays within every budget up to all eight segments, the full Hamming check, is linked.
 
-So there are no pairs of a group, however many copies it has, and no cap. Null and empty texts have the fingerprint zero and link like
-any other. Repeated rows are copies. A null doc_id is never a component's id unless it is alone.
+A dense group of near copies makes long lists, whose pairs would be too many. A class in a list of over LIST that shares a chain of four segments with
+another is checked without pairs: classes link exactly if a value within one bit of both exists, so each emits those 65 values, and at most 65 classes
+meet at a value. Both ways are exact, so the length of a list changes the cost only. Components are then found by alternating stars over
+the links. There are no pairs of a group, however many copies it has, and no cap. Null and empty texts have the fingerprint zero and link like
+any other. Repeated rows are copies. A null doc_id is never a component's id unless it is alone. An empty table gives an empty one.
 
 The pipeline's stage (deduplicated) links texts by the Jaccard similarity of their sets of five-word shingles, 0.8 at least; words and
 similarity are its parameters. A 64-bit fingerprint can't filter for that: pairs at 0.8 differ in ten bits or so, some in eighteen, as do
@@ -30,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import rows, staged, two
+from quillspark.llm.common import bucketed, own_name, rows, staged, two
 
-WORDS, SEED, SEGMENTS, FAR = 3, 42, 8, 2
+WORDS, SEED, SEGMENTS, FAR, LIST = 3, 42, 8, 2, 32
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Rows whose shingles are counted for the order, and the most frequent shingles that it puts last; lists of a shingle that are short.
 SAMPLE, FREQUENT, SHORT = 10_000, 200_000, 8
+#: Links in a file while components are contracted.
+EDGES = 500_000
 
 
 def hashes(text: str, k: int = WORDS) -> np.ndarray:
@@ -79,11 +83,30 @@ def _turned(fp: Column, by: int) -> Column:
     return fp if not by else F.shiftleft(fp, by).bitwiseOR(F.shiftrightunsigned(fp, 64 - by))
 
 
-def survivors(fps: DataFrame) -> DataFrame:
-    """The classes that share a chain of four segments, within its budgets, with another class. Takes distinct fp."""
+def _within(x: Column) -> Column:
+    """Whether differences x, turned to the chain's start, stay within the budget of each length."""
+    ok = F.bit_count(x) <= FAR
+    for length in range(SEGMENTS - 1, 2, -1):
+        ok = ok & (F.bit_count(F.shiftrightunsigned(x, 64 - length * 64 // SEGMENTS)) <= length * FAR // SEGMENTS)
+    return ok
+
+
+def linked(fps: DataFrame, short: int = LIST) -> DataFrame:
+    """(a, b), b < a: links of distinct fp that connect all that differ in FAR bits or fewer."""
     step = 64 // SEGMENTS
-    chains = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _turned(F.col("fp"), i * step).alias("r")) for i in range(SEGMENTS)])).alias("c"))
-    chains = chains.select("fp", F.col("c.i").cast("byte").alias("i"), F.shiftrightunsigned("c.r", 40).cast("int").alias("three"), F.shiftrightunsigned("c.r", 32).bitwiseAND(F.lit(255)).cast("short").alias("fourth"))
+    chains = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), _turned(F.col("fp"), i * step).alias("r")) for i in range(SEGMENTS)])).alias("c"))
+    chains = chains.select("fp", "c.i", "c.r", F.shiftrightunsigned("c.r", 40).cast("int").alias("three"))
+    sizes = staged(chains.groupBy("i", "three").agg(F.count("*").alias("n")).where("n > 1"), "lists")
+    lists = chains.join(sizes.where(F.col("n") <= short), ["i", "three"]).groupBy("i", "three").agg(F.array_sort(F.collect_list(F.struct("fp", "r"))).alias("have"))  # at most short
+    pair = F.flatten(F.transform("have", lambda x, k: F.transform(F.slice("have", k + 2, F.size("have")), lambda y: F.struct(x["fp"].alias("b"), y["fp"].alias("a"), x["r"].bitwiseXOR(y["r"]).alias("x")))))
+    pairs = lists.select(F.explode(F.filter(pair, lambda p: _within(p["x"]))).alias("p")).select("p.a", "p.b")
+    dense = survivors(chains.join(sizes.where(F.col("n") > short), ["i", "three"], "left_semi"))
+    return pairs.unionByName(links(dense)).distinct()
+
+
+def survivors(chains: DataFrame) -> DataFrame:
+    """fp of the classes that share a chain of four segments, within its budgets, with another class of their list."""
+    chains = chains.withColumn("fourth", F.shiftrightunsigned("r", 32).bitwiseAND(F.lit(255)).cast("short"))
     heads = chains.groupBy("i", "three", "fourth").agg(F.count("*").alias("n"))
     lists = heads.groupBy("i", "three").agg(F.sum("n").alias("all"), F.collect_list(F.struct("fourth", "n")).alias("have")).where(F.col("all") > 1)  # at most 256 entries
     near = lambda x: (x["n"] > 1) | F.exists("have", lambda y: (y["fourth"] != x["fourth"]) & (F.bit_count(y["fourth"].bitwiseXOR(x["fourth"])) <= 1))
@@ -105,12 +128,13 @@ def components(edges: DataFrame) -> DataFrame:
         low = sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("m", "a"))
         return sym.join(low.hint("shuffle_merge"), "a")
 
-    before = None
+    before, edges = None, staged(edges, "links")
+    files = 1 + edges.count() // EDGES  # few links go into few files
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = smallest(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = smallest(large)
-        edges = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "stars")
+        edges = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "stars", files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).collect()[0]  # three numbers
         if now == before:
             return edges.select("a", F.col("b").alias("root"))
@@ -121,7 +145,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     every = staged(fingerprints(docs), "fingerprints")
     classes = staged(every.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    stars = components(staged(links(survivors(classes.select("fp"))), "links"))
+    stars = components(linked(classes.select("fp")))
     rooted = classes.join(stars, classes.fp == stars.a, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(lowest.hint("shuffle_merge"), "root").select("fp", "component_id")
@@ -183,8 +207,10 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
 
 
 def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, component_id of texts (doc_id, text) with distinct ids: components of all pairs with the similarity or more."""
-    texts = two(texts)
+    """doc_id, component_id of texts (doc_id, text) with distinct ids: components of all pairs with the similarity or more.
+
+    Texts in buckets of doc_id aren't shuffled for the checks of candidates.
+    """
     every = staged(_sets(texts, words, similarity), "sets")
     classes = staged(every.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
     w = Window.partitionBy("token")
@@ -217,8 +243,9 @@ def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = S
 def deduplicated(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The rows of docs, exactly one of each component: by least doc_id, nulls last, then by place. Ids may be null, repeat or clash."""
     names = docs.columns
-    numbered = staged(docs.withColumn("__quill_row", F.monotonically_increasing_id()), "numbered")
-    groups = near_copies(numbered.select(F.col("__quill_row").alias("doc_id"), "text"), words, similarity).select(F.col("doc_id").alias("__quill_row"), "component_id")
-    keyed = numbered.select("__quill_row", F.col("doc_id").cast("long").alias("id")).join(groups, "__quill_row")
-    first = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "__quill_row")).alias("first")).select("first.__quill_row")
-    return numbered.join(first, "__quill_row", "left_semi").select(*[F.col(f"`{c}`") for c in names])
+    row = own_name("row", names)
+    numbered = bucketed(docs.withColumn(row, F.monotonically_increasing_id()), row, "numbered")  # the text is shuffled here and no more
+    groups = near_copies(numbered.select(F.col(row).alias("doc_id"), "text"), words, similarity).select(F.col("doc_id").alias(row), "component_id")
+    keyed = numbered.select(row, F.col("doc_id").cast("long").alias("id")).join(groups, row)
+    first = keyed.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", F.col(row).alias("row"))).alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(first.hint("shuffle_merge"), row, "left_semi").select(*[F.col(f"`{c}`") for c in names])

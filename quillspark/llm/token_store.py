@@ -2,7 +2,10 @@
 
 The files are in ascending doc_id order, within a file and from file to file, so that a range of ids prunes files by footer and
 stripes by index, and the Bloom filter prunes stripes for single ids. Every document ends with id 0. Null text is empty: just the end
-id. Rows with a null doc_id come first. Rows with equal ids stay separate and lie side by side.
+id. Rows with a null doc_id come first. Rows with equal or null ids stay separate, lie side by side in the order in which the table was
+read, and may be dealt out over several files, so that no id fills one task. An empty table gives no rows.
+
+What is read back is summed in the files' own order: each split of a file by itself, and then the splits' totals, one row a split.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.bpe import WordIds, default_vocabulary
-from quillspark.llm.common import new_path, rows, two
+from quillspark.llm.common import new_path, rows, staged, two
 
 END = 0
 STRIPE = 16 << 20
@@ -27,21 +30,24 @@ _tables: dict[str, WordIds] = {}
 def _encoded(path: str):
     def run(batches):
         table = _tables.setdefault(path, WordIds(path))  # lives as long as the worker; bounded
-        for doc_ids, texts in rows(batches, 4 << 20):
-            ids, per, words, _ = table.encode(texts)
-            ends = np.concatenate([[0], np.cumsum(per)])[np.cumsum(words)]
-            flat = np.insert(ids, ends, END)
-            offsets = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], schema=SCHEMA)
+        for doc_ids, texts in rows(batches):
+            parts, ends, done = [], np.zeros(len(texts) + 1, np.int32), 0
+            for k, t in enumerate(texts):
+                ids = table.bpe.whole(t)
+                parts += [np.array(ids, np.int32) if ids is not None else table.encode([t])[0], np.array([END], np.int32)]
+                done += len(parts[-2]) + 1
+                ends[k + 1] = done
+            yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(parts), pa.int32()))], schema=SCHEMA)
 
     return run
 
 
 def write(docs: DataFrame, path: str, vocabulary: str | None = None, partitions: int | None = None) -> None:
-    """Write the ids of every document to ORC files under path, in ascending doc_id order."""
-    spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = two(docs).repartitionByRange(n, F.col("doc_id")).sortWithinPartitions("doc_id")  # what is sorted is text: it is encoded after
+    """Write the ids of every document to ORC files under path, in ascending doc_id order. partitions: how many files, as many as
+    spark.sql.shuffle.partitions unless given."""
+    n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = two(docs).withColumn("place", F.monotonically_increasing_id())  # parts equal ids, without a look at the text
+    ordered = placed.repartitionByRange(n, "doc_id", "place").sortWithinPartitions("doc_id", "place").drop("place")  # what is sorted is text: it is encoded after
     ordered.mapInArrow(_encoded(vocabulary or default_vocabulary()), "doc_id long, ids array<int>").write.options(
         **{"orc.compress": "ZSTD", "orc.stripe.size": STRIPE, "orc.row.index.stride": 1000, "orc.create.index": "true", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": 0.01}
     ).orc(path)
@@ -53,24 +59,29 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def digests(stored: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from the files. Each file is summed by itself; only the files' totals are put in order."""
+    """doc_id, start, n_tokens, ids_crc32 from the files, which are read once."""
 
     def run(batches):
+        now, done = None, 0  # the split that is read, and its ids so far
         for b in batches:
-            name, key, lists = b.column(0), b.column(1), b.column(2)
-            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-            crc = [zlib.crc32(flat[s:e].data) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([name, key, pa.array(np.diff(at), pa.int64()), pa.array(crc, pa.int64())], ["file", "doc_id", "n_tokens", "ids_crc32"])
-
-    # the file's name begins with its number among the ordered partitions
-    number = F.regexp_extract(F.element_at(F.split("_metadata.file_path", "/"), -1), r"^part-(\d+)", 1).cast("int").alias("file")
-    each = stored.select(number, "doc_id", "ids").mapInArrow(run, "file int, doc_id long, n_tokens long, ids_crc32 long")
-    before = W.orderBy("file").rowsBetween(W.unboundedPreceding, -1)
-    files = each.groupBy("file").agg(F.sum("n_tokens").alias("total"))
-    files = files.select(F.col("file"), F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))  # one row a file
-    within = W.partitionBy("file").orderBy("doc_id", "ids_crc32", "n_tokens").rowsBetween(W.unboundedPreceding, -1)
-    out = each.withColumn("inner", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    return out.join(files, "file").select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
+            file, block, key, lists = b.columns
+            at, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
+            places = list(zip(file.to_pylist(), block.to_pylist()))
+            n = np.diff(at).astype(np.int64)
+            crc, inner = [zlib.crc32(flat[s:e].data) for s, e in zip(at[:-1].tolist(), at[1:].tolist())], []
+            for place, k in zip(places, n.tolist()):
+                if place != now:
+                    now, done = place, 0
+                inner.append(done)
+                done += k
+            yield pa.RecordBatch.from_arrays([file, block, key, pa.array(inner, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["file", "block", "doc_id", "inner", "n_tokens", "ids_crc32"])
+
+    # the file's name begins with its number among the ordered partitions; a task reads a split's rows in order
+    number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).cast("int").alias("file")
+    each = staged(stored.select(number, F.col("_metadata.file_block_start").alias("block"), "doc_id", "ids").mapInArrow(run, "file int, block long, doc_id long, inner long, n_tokens long, ids_crc32 long"), "digests")
+    before = W.orderBy("file", "block").rowsBetween(W.unboundedPreceding, -1)
+    splits = each.groupBy("file", "block").agg(F.sum("n_tokens").alias("total")).select("file", "block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
+    return each.join(splits, ["file", "block"]).select("doc_id", (F.col("base") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def stored_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

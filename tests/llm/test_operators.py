@@ -93,7 +93,7 @@ def test_edits(library):
     bits = [" ", "  ", "\n", "\n\n", "a", "foo", "bar,", "'s", "é", " x", "12", "<|endoftext|>", "<|", "|>", "\t", "日本", "!!", "don't"]
     for k in range(400):
         s = "".join(rng.choice(bits) for _ in range(rng.randint(0, 400 if k % 40 == 0 else 12)))
-        _, per, _, (words,) = encoder.encode([s])
+        _, per, _, (words,) = encoder.encode([s], keep=True)
         tree = counts.CountTree(words, per, encoder)
         for _ in range(4):
             a = rng.randint(0, len(s) + 1)
@@ -204,7 +204,8 @@ def test_near_copies(spark):
     assert simhash.deduplicated(d).count() == len(set(got.values()))
 
 
-def test_links_and_components(spark):
+@pytest.mark.parametrize("short", [1, 4, 32])
+def test_links_and_components(spark, short):
     rng, fps = random.Random(5), set()
     for _ in range(60):  # chains of values that differ in up to three bits
         x = rng.getrandbits(64)
@@ -214,7 +215,7 @@ def test_links_and_components(spark):
                 x ^= 1 << rng.randrange(64)
     values = [int(v) for v in np.array(sorted(fps), np.uint64).view(np.int64)]
     d = spark.createDataFrame([(v,) for v in values], "fp long")
-    got = {r["a"]: r["root"] for r in simhash.components(simhash.links(simhash.survivors(d)).cache()).collect()}
+    got = {r["a"]: r["root"] for r in simhash.components(simhash.linked(d, short)).collect()}
     want = brute_components({v: v & (1 << 64) - 1 for v in values})
     assert {v: got.get(v, v) for v in values} == want
 
