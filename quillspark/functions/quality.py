@@ -93,11 +93,26 @@ def missing_reference(ocr: DataFrame, reference: DataFrame) -> DataFrame:
 
 
 def summary(reports: DataFrame, skipped: DataFrame | None = None) -> DataFrame:
-    """One row for a batch; means leave out nulls and are null where there is nothing."""
+    """One row for a batch; means leave out nulls and are null where there is nothing. skipped: pages without reference, whose names are listed."""
     out = reports.agg(
         F.count("*").alias("pages_evaluated"), F.count_if("passed").alias("pages_passed"), F.count_if(~F.col("passed")).alias("pages_with_errors"),
         F.count_if(F.size("warnings") > 0).alias("pages_with_warnings"), *[F.round(F.avg(c), 2).alias(f"mean_{c}") for c in ("similarity", "diacritics", "overlap")],
     )
     if skipped is None:
         return out
-    return out.join(F.broadcast(skipped.agg(F.count("*").alias("pages_skipped"))))  # one row on either side
+    return out.join(F.broadcast(skipped.agg(F.array_sort(F.collect_list("page")).alias("pages_skipped"))))  # one row on either side
+
+
+def reports(verified: DataFrame) -> DataFrame:
+    """file, report: a page's report as JSON, under the name of its file."""
+    m = F.struct(
+        F.struct("char_diff", "word_diff").alias("content"), "similarity", F.struct("matched", "diacritics").alias("diacritic_integrity"), "overlap",
+    )
+    whole = F.struct("page", "passed", m.alias("metrics"), "warnings", "errors")
+    return verified.select(F.concat(F.regexp_replace("page", r"(?<=.)\.[^.]*$", ""), F.lit("_report.json")).alias("file"), F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
+
+
+def process_batch(ocr: DataFrame, reference: DataFrame, limits: dict | None = None) -> tuple[DataFrame, DataFrame]:
+    """Reports of the pages that both sides have, and the batch's summary with the names of those without reference."""
+    verified = verify(ocr, reference, limits)
+    return reports(verified), summary(verified, missing_reference(ocr, reference))

@@ -35,6 +35,7 @@ GENERAL = [
     ("G27", r'/"([a-zA-Zɑ-ɿʀ-ʿ])', "", r"/ʰ\1"),
 ]
 
+# Errors of single publications, as above.
 CORPUS = [
     ("C01", r"Ilioaı", "i", "llioaı"),
     ("C02", r"Ηellenistic", "i", "Ηellenιstιc"),
@@ -113,6 +114,7 @@ CORPUS = [
     ("C75", r"Carbon\.(?!7)\S", "", "Carbon.7"),
 ]
 
+# Rules for runs of Greek, as above.
 GREEK_RUN_RULES = [
     ("K01", r"""σ(?=[\s,\.·;:\!\?\)\]\}»'"]|$)""", "m", "ς"),
     ("K02", r"\(ρ", "", "φ"),
@@ -120,28 +122,28 @@ GREEK_RUN_RULES = [
     ("K04", r"<p", "", "φ"),
 ]
 
-# Literal replacements of characters.
+# Literal replacements of characters, in order; only invisible characters are escaped.
 CHARS = [
-    ("\u0093", "\u201C"),  # R01
-    ("\u0094", "\u201D"),  # R02
-    ("\u0091", "\u2018"),  # R03
-    ("\u0092", "\u2019"),  # R04
-    ("\u0085", "\u002E\u002E\u002E"),  # R05
-    ("\u0096", "\u2013"),  # R06
-    ("\u0097", "\u2014"),  # R07
-    ("\u000C", "\u000A"),  # R08
-    ("\u000D\u000A", "\u000A"),  # R09
-    ("\u000D", "\u000A"),  # R10
-    ("\u00A0", "\u0020"),  # R11
-    ("\u200B", ""),  # R12
-    ("\u200C", ""),  # R13
-    ("\uFEFF", ""),  # R14
-    ("\uFB00", "\u0066\u0066"),  # R15
-    ("\uFB01", "\u0066\u0069"),  # R16
-    ("\uFB02", "\u0066\u006C"),  # R17
-    ("\uFB03", "\u0066\u0066\u0069"),  # R18
-    ("\uFB04", "\u0066\u0066\u006C"),  # R19
-    ("\uFB06", "\u0073\u0074"),  # R20
+    ("\x93", "“"),  # R01
+    ("\x94", "”"),  # R02
+    ("\x91", "‘"),  # R03
+    ("\x92", "’"),  # R04
+    ("\x85", "..."),  # R05
+    ("\x96", "–"),  # R06
+    ("\x97", "—"),  # R07
+    ("\f", "\n"),  # R08
+    ("\r\n", "\n"),  # R09
+    ("\r", "\n"),  # R10
+    ("\xa0", " "),  # R11
+    ("\u200b", ""),  # R12
+    ("\u200c", ""),  # R13
+    ("\ufeff", ""),  # R14
+    ("ﬀ", "ff"),  # R15
+    ("ﬁ", "fi"),  # R16
+    ("ﬂ", "fl"),  # R17
+    ("ﬃ", "ffi"),  # R18
+    ("ﬄ", "ffl"),  # R19
+    ("ﬆ", "st"),  # R20
 ]
 
 # Whole words.
@@ -181,9 +183,21 @@ WORDS = [
     ("inscripcion", "inscripción"),
 ]
 
-# Look-alike letters.
-IN_GREEK = ("abeiknoprtuvwx", "αβεικνορρτυνωχ")
+# Look-alikes of a Latin small letter between Greek ones.
+IN_GREEK = [("a", "α"), ("b", "β"), ("e", "ε"), ("i", "ι"), ("k", "κ"), ("n", "ν"), ("o", "ο"), ("p", "ρ"), ("r", "ρ"), ("t", "τ"), ("u", "υ"), ("v", "ν"), ("w", "ω"), ("x", "χ")]
+
+# Latin capitals and their Greek look-alikes, as translate() takes them.
 EPIGRAPHIC = ("ABDEFGHIKLMNOPQSTVXYZ", "ΑΒΔΕΦΓΗΙΚΛΜΝΟΡΩΣΤΥΧΥΖ")
 
 # Particles that are never joined to a neighbour.
-STOPWORDS = frozenset("αἱ γάρ γε γὰρ δέ δὲ εἰ εἰς καί κατὰ καὶ μέν μή μετὰ μὲν μὴ οἱ οὐ οὐδὲ οὐκ οὐχ οὖν παρὰ πρὸ πρὸς τε τι τις τὰ τὸ τῇ τῷ ἀλλὰ ἀπὸ ἂν ἃν ἄν ἄρα ἐκ ἐν ἔτι ἡ ὁ ὅπερ ὅπως ὅσοι ὅσον ὅστις ὅτε ὅτι ὑπὲρ ὑπὸ ὡς".split())
+STOPWORDS = {
+    "αἱ", "γάρ", "γε", "γὰρ", "δέ", "δὲ", "εἰ", "εἰς", "καί",
+    "κατὰ", "καὶ", "μέν", "μή", "μετὰ", "μὲν", "μὴ", "οἱ", "οὐ",
+    "οὐδὲ", "οὐκ", "οὐχ", "οὖν", "παρὰ", "πρὸ", "πρὸς", "τε", "τι",
+    "τις", "τὰ", "τὸ", "τῇ", "τῷ", "ἀλλὰ", "ἀπὸ", "ἂν", "ἃν",
+    "ἄν", "ἄρα", "ἐκ", "ἐν", "ἔτι", "ἡ", "ὁ", "ὅπερ", "ὅπως",
+    "ὅσοι", "ὅσον", "ὅστις", "ὅτε", "ὅτι", "ὑπὲρ", "ὑπὸ", "ὡς",
+}
+
+# Letters of private use of an old font, epsilon and omicron with circumflex.
+PRIVATE_USE = [("\ue1b0", "ε\u0342"), ("\ue1c3", "ο\u0342")]

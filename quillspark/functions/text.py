@@ -1,75 +1,40 @@
-"""Text correction as column expressions: each stage takes a column and returns one; fix_text is all of them in order."""
+"""Text correction as columns: each stage takes a column and returns one; fix_text is all of them in order. Null stays null."""
 
 from __future__ import annotations
 
-import functools
-import re
-import unicodedata
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.functions import correct
 from quillspark.functions import rules as R
+from quillspark.functions.correct import MODES, RUN
 
-# Java's classes as the rules mean them: letters, white space, digits, and the edge of a word.
-LETTER = r"[\p{L}\p{N}_]"
+# White space as Python's str has it, in Java's syntax and as characters.
 SPACE_IN = r"\s\x1c-\x1f"
 SPACE = f"[{SPACE_IN}]"
-EDGE = f"(?:(?<={LETTER})(?!{LETTER})|(?<!{LETTER})(?={LETTER}))"
-RUN = rf"{R.GREEK}+(?:[\[\](){{}}⟨⟩]{R.GREEK}+)*"
-MODES = ("full", "greek", "general")
-
-
-def java(pattern: str, flags: str = "") -> str:
-    """A rule's pattern in Java's syntax, flags inline."""
-    out, inside, k = [], False, 0
-    while k < len(pattern):
-        two = pattern[k : k + 2]
-        if two in (r"\w", r"\b", r"\s", r"\S", r"\d"):
-            out.append({r"\w": LETTER, r"\b": EDGE, r"\s": SPACE_IN if inside else SPACE, r"\S": f"[^{SPACE_IN}]", r"\d": r"\p{Nd}"}[two])
-            k += 2
-            continue
-        if two[0] == "\\":
-            out.append(two)
-            k += 2
-            continue
-        inside = two[0] == "[" or inside and two[0] != "]"
-        out.append(two[0])
-        k += 1
-    return f"(?U{'i' if 'i' in flags else ''}{'md' if 'm' in flags else ''}:{''.join(out)})"
-
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
-def java_replacement(text: str) -> str:
-    return re.sub(r"\\(\d)", r"$\1", re.sub(r"\\(?!\d)|\$", lambda m: "\\" + m[0], text))
 
+def each(c: Column, f) -> Column:
+    """f of every string of a column, over Arrow batches."""
 
-def bind(c: Column, f) -> Column:
-    """f of a column that is evaluated once, however often f uses it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
+    @F.pandas_udf(StringType())
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(f, na_action="ignore")
 
-
-def folded(c: Column) -> Column:
-    """Letters without case, so that whatever a rule of either case matches has the same letters here."""
-    return F.replace(F.lower(F.upper(c)), F.lit("ς"), F.lit("σ"))
+    return run(c)
 
 
 def apply_rules(c: Column, rules) -> Column:
-    """Rules one after the other, as one nested expression."""
-    for _, pattern, flags, replacement in rules:
-        c = F.regexp_replace(c, F.lit(java(pattern, flags)), F.lit(java_replacement(replacement)))
-    return c
-
-
-@F.pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x), na_action="ignore")
+    """Rules one after the other."""
+    return each(c, lambda t: correct.apply_rules(t, rules))
 
 
 def normalize_unicode(c: Column) -> Column:
-    """NFC, which Spark has no function for."""
-    return _nfc(c)
+    """NFC, which Spark has no function for; plain ASCII stays in the engine."""
+    return F.when(c.rlike(r"^\p{ASCII}*$"), c).otherwise(each(c, correct.normalize_unicode))
 
 
 def replace_chars(c: Column) -> Column:
@@ -79,86 +44,27 @@ def replace_chars(c: Column) -> Column:
 
 
 def clean_brackets(c: Column) -> Column:
-    """No white space after an opening or before a closing editorial bracket."""
-    for a, b in R.OPENING_CLOSING:
-        c = F.regexp_replace(c, rf"(?U)\Q{a}\E{SPACE}+", java_replacement(a))
-        c = F.regexp_replace(c, rf"(?U){SPACE}+\Q{b}\E", java_replacement(b))
-    return c
+    return each(c, correct.clean_brackets)
 
 
 def latin_in_greek(c: Column) -> Column:
-    """A Latin small letter between two Greek ones becomes its look-alike."""
-    for a, b in zip(*R.IN_GREEK):
-        c = F.regexp_replace(c, f"{a}(?<={R.GREEK}{a})(?={R.GREEK})", b)
-    return c
+    return each(c, correct.latin_in_greek)
 
 
 def general_rules(c: Column) -> Column:
-    return apply_rules(c, R.GENERAL)
-
-
-def needed(pattern: str) -> str:
-    """Characters with which every match of a pattern begins (there are no alternatives at a rule's top level)."""
-    out, k = "", 0
-    while k < len(pattern):
-        if pattern[k : k + 2] == r"\b":
-            k += 2
-            continue
-        if pattern[k] == "\\":
-            if pattern[k + 1] == "u":
-                c, step = chr(int(pattern[k + 2 : k + 6], 16)), 6
-            elif pattern[k + 1].isalnum():
-                break
-            else:
-                c, step = pattern[k + 1], 2
-        elif pattern[k] in "[(.|^$":
-            break
-        else:
-            c, step = pattern[k], 1
-        if pattern[k + step : k + step + 1] in ("?", "*", "{"):
-            break
-        out, k = out + c, k + step
-    return out
-
-
-GROUP = 15  # rules behind one gate; a gate for each rule nests too deeply for the analyzer
+    return each(c, correct.general_rules)
 
 
 def corpus_rules(c: Column) -> Column:
-    """In groups: where no rule's first characters are in the text as it reaches a group, none of it can match, and it doesn't run."""
-
-    def gate(some):
-        starts = [folded(F.lit(needed(p))) for _, p, _, _ in some]
-        found = lambda y: functools.reduce(lambda a, b: a | b, [y.contains(s) for s in starts])
-        return lambda x: F.when(bind(folded(x), found), apply_rules(x, some)).otherwise(x)
-
-    for k in range(0, len(R.CORPUS), GROUP):
-        c = bind(c, gate(R.CORPUS[k : k + GROUP]))
-    return c
+    return each(c, correct.corpus_rules)
 
 
 def epigraphic(c: Column) -> Column:
-    """Latin capitals within <...> become Greek."""
-    parts = F.regexp_extract_all(c, F.lit("(?s)<[^>]+>|<|[^<]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("<") & p.endswith(">"), F.translate(p, *R.EPIGRAPHIC)).otherwise(p)), "")
+    return each(c, correct.epigraphic)
 
 
 def word_rules(c: Column) -> Column:
-    """Whole words; the chain runs only where one of them occurs at all."""
-
-    def gated(x: Column) -> Column:
-        out = x
-        for wrong, right in R.WORDS:
-            out = F.regexp_replace(out, f"(?<!{LETTER}){wrong}(?!{LETTER})" + (r"(?!\.)" if right == wrong + "." else ""), right)
-        return F.when(functools.reduce(lambda a, b: a | b, [x.contains(wrong) for wrong, _ in R.WORDS]), out).otherwise(x)
-
-    return bind(c, gated)
-
-
-def final_sigma(c: Column) -> Column:
-    """The rules for one run of Greek that can fire within a run: final sigma and (ρ."""
-    sigma, rho = R.GREEK_RUN_RULES[:2]
-    return apply_rules(c, [sigma, rho])
+    return each(c, correct.word_rules)
 
 
 def segments(c: Column) -> Column:
@@ -167,23 +73,22 @@ def segments(c: Column) -> Column:
 
 
 def segment_rules(c: Column, greek: bool = True) -> Column:
-    run = lambda s: s.rlike(f"^{R.GREEK}")
-    return F.array_join(F.transform(segments(c), lambda s: F.when(run(s), final_sigma(s) if greek else s).otherwise(word_rules(s))), "")
+    return each(c, lambda t: correct.segment_rules(t, greek))
+
+
+def greek_block(c: Column) -> Column:
+    return each(c, correct.greek_block)
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"(?U)\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def fix_text(c: Column, mode: str = "full", include_corpus_specific: bool = True) -> Column:
-    """The whole correction. Null stays null."""
+    """The whole correction, in one pass."""
     if mode not in MODES:
         raise ValueError(f"invalid mode: {mode!r}; it is one of {', '.join(MODES)}")
-    c = latin_in_greek(clean_brackets(replace_chars(normalize_unicode(c))))
-    c = general_rules(c)
-    if include_corpus_specific:
-        c = corpus_rules(c)
-    return strip(segment_rules(epigraphic(c), greek=mode != "general"))
+    return each(c, lambda t: correct.fix_text(t, mode, include_corpus_specific))
 
 
 def fix_cell(c: Column) -> Column:
@@ -191,54 +96,86 @@ def fix_cell(c: Column) -> Column:
     return F.when(c.isNull() | (c == ""), "").when(numeric_cell(c), strip(c)).otherwise(fix_text(c))
 
 
+def fix_grid(grid: Column) -> Column:
+    """fix_cell of every cell of rows of cells; null where the grid is."""
+
+    @F.pandas_udf("array<array<string>>")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda rows: [[correct.fix_cell(c) for c in r] if r is not None else [] for r in rows], na_action="ignore")
+
+    return run(grid)
+
+
 def numeric_cell(c: Column) -> Column:
     return c.rlike(rf"(?U)^{SPACE}*\p{{Nd}}+(?:[.,]\p{{Nd}}+)?{SPACE}*$")
 
 
 def private_use(c: Column) -> Column:
-    """Two private-use letters of an old font: epsilon and omicron with circumflex."""
-    return F.replace(F.replace(c, F.lit("\ue1b0"), F.lit("ε\u0342")), F.lit("\ue1c3"), F.lit("ο\u0342"))
+    for a, b in R.PRIVATE_USE:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return c
+
 
+def join_greek_fragments(c: Column) -> Column:
+    return each(c, correct.join_greek_fragments)
 
-@F.pandas_udf(StringType())
-def join_greek_fragments(s: pd.Series) -> pd.Series:
-    """Join Greek fragments over one space, unless one is a particle or both have four letters or more; five passes at most."""
-    pair = re.compile(f"({R.GREEK}+) ({R.GREEK}+)")
 
-    def join(m):
-        a, b = m[1], m[2]
-        return m[0] if {a, b} & R.STOPWORDS or min(len(a), len(b)) >= 4 else a + b
+# The words that begin a caption of a table, and of a figure.
+TABLE_WORDS = r"Table|Tab\.?|Tabla|Cuadro|Tableau"
+FIGURE_WORDS = r"Figure|Fig\.?|Abbildung|Abb\.?|Tav\.?"
 
-    def one(x):
-        for _ in range(5):
-            before, x = x, pair.sub(join, x)
-            if x == before:
-                break
-        return x
 
-    return s.map(one, na_action="ignore")
+def _caption(words: str) -> str:
+    return rf"(?imdU)^{SPACE}*(?:{words}){SPACE}*\.?{SPACE}*\p{{Nd}}+"
 
 
-CAPTION = rf"(?imdU)^{SPACE}*(?:Table|Tab\.?|Tabla|Cuadro|Tableau){SPACE}*\.?{SPACE}*\p{{Nd}}+"
+CAPTION = _caption(TABLE_WORDS)
 
 
 def is_table_caption(c: Column) -> Column:
     return c.rlike(CAPTION)
 
 
-def paragraphs(xml: Column) -> Column:
-    """Paragraph texts of a word-processor part: its text runs, joined, entities resolved."""
-    parts = F.regexp_extract_all(xml, F.lit(r"(?s)<w:p[ >].*?</w:p>"), F.lit(0))
-    return F.transform(parts, lambda p: unescape_basic(F.array_join(F.regexp_extract_all(p, F.lit(r"(?s)<w:t[^>]*>(.*?)</w:t>"), F.lit(1)), "")))
+def is_figure_caption(c: Column) -> Column:
+    return c.rlike(_caption(FIGURE_WORDS))
 
 
-def unescape_basic(c: Column) -> Column:
-    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+def language_codes(c: Column) -> Column:
+    """The codes of a list such as eng+grc."""
+    return F.split(c, r"\+")
+
+
+def language_list(selected: Column, order) -> Column:
+    """The selected codes in the given order, as such a list; null where none is selected."""
+    found = F.filter(F.array(*map(F.lit, order)), lambda x: F.array_contains(selected, x))
+    return F.when(F.size(found) > 0, F.array_join(found, "+"))
+
+
+def missing_languages(needed: Column, installed: Column) -> Column:
+    return F.array_except(needed, installed)
 
 
 def parse_issue(body: Column) -> Column:
-    """A form's sections as a map from lower-cased heading to trimmed value."""
-    parts = F.filter(F.split(F.concat(F.lit("\n"), body), "\n### "), lambda p, i: (i > 0) & p.contains("\n"))
-    return F.map_from_entries(F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "\n", 1))), strip(F.substring(p, F.locate("\n", p) + 1, F.length(p))))))
+    """A form's sections as a map from lower-cased heading to trimmed value; of two with one heading the last holds."""
+    blocks = F.transform(F.split(strip(body), "\n### "), lambda b: strip(F.regexp_replace(b, r"\A[# ]+", "")))
+    entry = lambda b: F.struct(F.lower(strip(F.substring_index(b, "\n", 1))).alias("key"), strip(F.substring(b, F.locate("\n", b) + 1, F.length(b))).alias("value"))
+    entries = F.transform(F.filter(blocks, lambda b: b.contains("\n")), entry)
+    last = F.filter(entries, lambda e, k: ~F.exists(F.slice(entries, k + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
+    return F.map_from_entries(last)
+
+
+# The headings of an issue form, what an empty answer says, and how the answer for all documents begins.
+BAD, GOOD, CONTEXT, SCOPE = "texto que salió mal", "texto correcto", "frase completa (contexto)", "¿este error se repite en cualquier documento o es propio de este pdf concreto?"
+NO_ANSWER, ALL_DOCUMENTS = "_No response_", "Cualquier documento"
+
+
+def issue_rule(number: Column, body: Column) -> Column:
+    """route (general, corpus or incomplete), pattern, replacement and description of the rule that an issue asks for."""
+    fields = parse_issue(F.coalesce(body, F.lit("")))
+    get = lambda k: F.coalesce(F.element_at(fields, F.lit(k)), F.lit(""))
+    bad, good, context = get(BAD), get(GOOD), get(CONTEXT)
+    route = F.when((bad == "") | (good == ""), "incomplete").when(get(SCOPE).startswith(ALL_DOCUMENTS), "general").otherwise("corpus")
+    whole = route != "incomplete"
+    said = F.concat(F.lit("issue #"), number.cast("string"), F.when((context != "") & (context != NO_ANSWER), F.concat(F.lit(": "), F.substring(context, 1, 60))).otherwise(""))
+    escaped = F.regexp_replace(bad, r"[()\[\]{}?*+\-|^$\\.&~# \t\n\r\x0b\f]", r"\\$0")
+    return F.struct(route.alias("route"), F.when(whole, escaped).alias("pattern"), F.when(whole, good).alias("replacement"), F.when(whole, strip(F.replace(said, F.lit("\n"), F.lit(" ")))).alias("description"))

@@ -156,3 +156,27 @@ def table_grids(images: DataFrame) -> DataFrame:
     d = ruled_regions(images).withColumn("grid", tables.group_rows(tables.cell_boxes(F.col("xs"), F.col("ys")), F.col("box.h")))
     shaped = F.transform("grid", lambda r: F.transform(r, lambda c: c["x"].cast("string")))
     return d.select("image_id", "box", "grid", (F.col("box").isNotNull() & tables.is_valid_grid(shaped)).alias("valid"))
+
+
+#: The border around a cell, and the height from which a cell is read as a block (mode 6) and not as a line (mode 7).
+BORDER, BLOCK_HEIGHT = 6, 60
+
+
+def recognized(images: DataFrame, recognize) -> DataFrame:
+    """doc_id, page_number, grid: the texts of the valid grids' cells, read by recognize(pixels, mode) from the cleaned image with a white border."""
+    keyed = images.withColumn("image_id", F.concat_ws("\n", F.col("doc_id").cast("string"), F.col("page_number").cast("string")))
+    found = table_grids(keyed).where("valid").select("image_id", "box", "grid")
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema.fields}
+
+    def run(frames):
+        import pandas as pd
+
+        for frame in frames:
+            for r in frame.to_dict("records"):
+                page = cleaned(_grey(r["pixels"], int(r["width"]), int(r["height"])))
+                rows = [[page[r["box"]["y"] + c["y"] :, r["box"]["x"] + c["x"] :][: c["h"], : c["w"]] for c in row] for row in r["grid"]]
+                texts = [[recognize(np.pad(c, BORDER, constant_values=255), 7 if c.shape[0] < BLOCK_HEIGHT else 6).strip() for c in row] for row in rows]
+                yield pd.DataFrame({"doc_id": [r["doc_id"]], "page_number": [r["page_number"]], "grid": [texts]})
+
+    both = keyed.join(found, "image_id").select("doc_id", "page_number", "width", "height", "pixels", "box", "grid")
+    return both.mapInPandas(run, f"doc_id {kinds['doc_id']}, page_number {kinds['page_number']}, grid array<array<string>>")

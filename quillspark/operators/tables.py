@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import CAPTION, is_table_caption, strip
+from quillspark.functions.text import CAPTION, fix_grid, is_table_caption, strip
 
 
 def caption_window(pages: DataFrame) -> DataFrame:
@@ -16,10 +16,21 @@ def caption_window(pages: DataFrame) -> DataFrame:
     return d.withColumn("in_scope", F.col("has_caption") | F.lag("has_caption", 1, False).over(w))
 
 
+def bind(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def _most_common(widths: Column) -> Column:
-    """How often the commonest width occurs, and the width; ties don't matter to the tests below."""
-    counts = F.transform(F.array_distinct(widths), lambda x: F.struct(F.size(F.filter(widths, lambda y: y == x)).alias("n"), x.alias("width")))
-    return F.array_max(counts)
+    """How often the commonest width occurs, and the width, by one walk over them in order; ties don't matter to the tests below."""
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("n"), F.lit(0).alias("width"))
+
+    def step(a, x):
+        run = F.when(a["last"] == x, a["run"] + 1).otherwise(F.lit(1))
+        more = run > a["n"]
+        return F.struct(x.alias("last"), run.alias("run"), F.when(more, run).otherwise(a["n"]).alias("n"), F.when(more, x).otherwise(a["width"]).alias("width"))
+
+    return F.aggregate(F.array_sort(widths), start, step)
 
 
 def filled_share(grid: Column) -> Column:
@@ -29,9 +40,8 @@ def filled_share(grid: Column) -> Column:
 
 def is_real_table(grid: Column, share: float = 0.75, least: int = 0, filled: float | None = 0.5) -> Column:
     """Three rows or more, a commonest width of two or more that enough rows have, and enough filled cells."""
-    top = _most_common(F.transform(grid, F.size))
     n = F.size(grid)
-    ok = (n >= 3) & (top["width"] >= 2) & (top["n"] >= F.greatest(F.lit(float(least)), share * n))
+    ok = (n >= 3) & bind(_most_common(F.transform(grid, F.size)), lambda top: (top["width"] >= 2) & (top["n"] >= F.greatest(F.lit(float(least)), share * n)))
     if filled is not None:
         ok = ok & (filled_share(grid) >= filled)
     return F.coalesce(ok, F.lit(False))
@@ -43,24 +53,91 @@ def is_valid_grid(grid: Column) -> Column:
 
 
 def to_markdown(grid: Column) -> Column:
-    """Rows of cells as a Markdown table: padded, left-justified, the first row above dashes; empty for no rows."""
-    cells = F.transform(grid, lambda r: F.transform(r, lambda c: strip(F.coalesce(c, F.lit("")))))
-    width = F.array_max(F.transform(cells, F.size))
-    at = lambda r, k: F.coalesce(F.get(r, k), F.lit(""))
-    sizes = F.transform(F.sequence(F.lit(0), width - 1), lambda k: F.greatest(F.array_max(F.transform(cells, lambda r: F.length(at(r, k)))), F.lit(1)))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(F.transform(sizes, lambda s, k: F.rpad(at(r, k), s, F.lit(" "))), " | "), F.lit(" |"))
-    dashes = F.concat(F.lit("| "), F.array_join(F.transform(sizes, lambda s: F.repeat(F.lit("-"), s)), " | "), F.lit(" |"))
-    body = F.concat(F.array(line(F.get(cells, 0)), dashes), F.transform(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), line))
-    return F.when((F.size(grid) == 0) | grid.isNull() | (width < 1), "").otherwise(F.array_join(body, "\n"))
+    """Rows of cells as a Markdown table: padded, left-justified, the first row above dashes; empty for no rows or no cells.
+
+    A column's width is folded row by row, and each row is zipped with the widths: every cell is looked at twice, whatever the grid's shape.
+    """
+    empty = F.array().cast("array<int>")
+    wider = lambda a, r: F.zip_with(a, r, lambda n, c: F.greatest(F.coalesce(n, F.lit(1)), F.coalesce(F.length(c), F.lit(1))))
+    line = lambda r, sizes: F.concat(F.lit("| "), F.array_join(F.zip_with(sizes, r, lambda n, c: F.rpad(F.coalesce(c, F.lit("")), n, F.lit(" "))), " | "), F.lit(" |"))
+
+    def drawn(s):
+        cells, sizes = s["cells"], s["sizes"]
+        dashes = F.concat(F.lit("| "), F.array_join(F.transform(sizes, lambda n: F.repeat(F.lit("-"), n)), " | "), F.lit(" |"))
+        lines = F.transform(cells, lambda r, k: F.when(k == 0, F.concat(line(r, sizes), F.lit("\n"), dashes)).otherwise(line(r, sizes)))
+        return F.when(F.size(sizes) == 0, "").otherwise(F.array_join(lines, "\n"))
+
+    stripped = F.transform(F.coalesce(grid, F.array().cast("array<array<string>>")), lambda r: F.transform(F.coalesce(r, F.array().cast("array<string>")), lambda c: strip(F.coalesce(c, F.lit("")))))
+    return bind(bind(stripped, lambda cells: F.struct(cells.alias("cells"), F.aggregate(cells, empty, wider).alias("sizes"))), drawn)
+
+
+#: A stretch of text up to the end of the line in which its caption ends.
+_TO_CAPTION = rf"(?s:.*?)(?:{CAPTION})[^\n]*"
 
 
 def insert_tables(text: Column, tables: Column) -> Column:
     """After the whole line of the i-th caption, the i-th table; tables without a caption are left out."""
-    lines = F.split(text, "\n")
-    caption = F.transform(lines, lambda x: is_table_caption(x))
-    number = lambda k: F.size(F.filter(F.slice(caption, 1, k + 1), lambda x: x))
-    put = F.transform(lines, lambda x, k: F.when(F.get(caption, k) & (number(k) <= F.size(tables)), F.concat(x, F.lit("\n\n"), F.get(tables, number(k) - 1), F.lit("\n"))).otherwise(x))
-    return F.when(F.coalesce(F.size(tables), F.lit(0)) == 0, text).otherwise(F.array_join(put, "\n"))
+    parts = F.regexp_extract_all(text, F.lit(_TO_CAPTION), F.lit(0))
+
+    def put(p):
+        read = F.aggregate(p, F.lit(0), lambda n, x: n + F.length(x))
+        both = F.zip_with(p, F.slice(tables, 1, F.size(p)), lambda x, t: F.concat(x, F.coalesce(F.concat(F.lit("\n\n"), t, F.lit("\n")), F.lit(""))))
+        return F.concat(F.array_join(both, ""), F.substring(text, read + 1, F.length(text)))
+
+    return F.when((F.coalesce(F.size(tables), F.lit(0)) < 1) | ~is_table_caption(text), text).otherwise(bind(parts, put))
+
+
+def with_tables(pages: DataFrame, tables: DataFrame) -> DataFrame:
+    """The pages with their tables (doc_id, page_number, table_ord, markdown) inserted after the captions; pages without tables as they are."""
+    lists = tables.groupBy("doc_id", "page_number").agg(F.transform(F.array_sort(F.collect_list(F.struct("table_ord", "markdown"))), lambda t: t["markdown"]).alias("__tables"))
+    both = pages.join(lists, ["doc_id", "page_number"], "left")
+    return both.withColumn("text", insert_tables(F.col("text"), F.col("__tables"))).drop("__tables").select(*pages.columns)
+
+
+def _rendered(found: DataFrame) -> DataFrame:
+    """doc_id, page_number, table_ord, markdown of corrected grids; table_ord counts a page's tables from 1."""
+    drawn = found.withColumn("markdown", to_markdown(F.col("grid"))).where("markdown <> ''")
+    w = W.partitionBy("doc_id", "page_number").orderBy("table_ord")
+    return drawn.select("doc_id", "page_number", F.row_number().over(w).alias("table_ord"), "markdown")
+
+
+def _in_scope(pages: DataFrame) -> DataFrame:
+    return caption_window(pages).where("in_scope").select("doc_id", "page_number")
+
+
+def extract_digital(pages: DataFrame, grids: DataFrame, correct: bool = True) -> DataFrame:
+    """Tables of pages with text: grids (doc_id, page_number, table_ord, grid) that a provider read, on pages with a caption there or on the
+    page before, that are real tables; cells are corrected and the tables drawn."""
+    found = grids.join(_in_scope(pages), ["doc_id", "page_number"], "left_semi").where(is_real_table(F.col("grid")))
+    return _rendered(found.withColumn("grid", fix_grid(F.col("grid"))) if correct else found)
+
+
+def extract_scanned(pages: DataFrame, images: DataFrame, recognize, correct: bool = True) -> DataFrame:
+    """Tables of scanned pages, one a page at most: on pages in a caption's scope, the ruled grid of the image, its cells read by
+    recognize(pixels, mode), corrected, and at least half of them filled. images: doc_id, page_number, width, height, pixels."""
+    from quillspark.operators import images as drawn
+
+    scope = images.join(_in_scope(pages), ["doc_id", "page_number"], "left_semi")
+    found = drawn.recognized(scope, recognize).withColumn("table_ord", F.lit(1))
+    found = found.withColumn("grid", fix_grid(F.col("grid"))) if correct else found
+    return _rendered(found.where(filled_share(F.col("grid")) >= 0.5))
+
+
+def extract_tables(kind: str, pages: DataFrame, grids: DataFrame | None = None, images: DataFrame | None = None, recognize=None) -> DataFrame:
+    """One entry for both kinds of document."""
+    if kind == "digital":
+        return extract_digital(pages, grids)
+    if kind != "scanned":
+        raise ValueError(f"a document is digital or scanned, not {kind!r}")
+    if images is None or recognize is None:
+        raise ValueError("scanned documents need images and a recognizer")
+    return extract_scanned(pages, images, recognize)
+
+
+def table_totals(tables: DataFrame) -> DataFrame:
+    """doc_id, n_tables, and pages: page numbers in order with each page's number of tables."""
+    each = tables.groupBy("doc_id", "page_number").agg(F.count("*").alias("n"))
+    return each.groupBy("doc_id").agg(F.sum("n").alias("n_tables"), F.array_sort(F.collect_list(F.struct("page_number", "n"))).alias("pages"))
 
 
 def listing(tables: DataFrame) -> DataFrame:
@@ -96,6 +173,3 @@ def group_rows(cells: Column, height: Column) -> Column:
         F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat(F.get(a, F.size(a) - 1), F.array(c)))),
     ).otherwise(F.concat(a, F.array(F.array(c)))))
     return F.transform(rows, lambda r: F.array_sort(F.transform(r, lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"), c["w"].alias("w"), c["h"].alias("h")))))
-
-
-__all__ = ["CAPTION", "caption_window", "cell_boxes", "filled_share", "group_rows", "insert_tables", "is_real_table", "is_valid_grid", "line_centres", "listing", "to_markdown"]

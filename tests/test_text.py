@@ -23,7 +23,7 @@ def plain(text, mode="full", corpus=True):
         text = text.replace(a, b)
     for a, b in R.OPENING_CLOSING:
         text = re.sub(r"\s+" + re.escape(b), lambda m, b=b: b, re.sub(re.escape(a) + r"\s+", lambda m, a=a: a, text))
-    table = dict(zip(*R.IN_GREEK))
+    table = dict(R.IN_GREEK)
     text = re.sub(f"(?<={R.GREEK})([a-z])(?={R.GREEK})", lambda m: table.get(m[1], m[1]), text)
 
     def run(text, some):
