@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,7 +60,18 @@ def staged(df: DataFrame, name: str, files: int | None = None, **options) -> Dat
     spark = df.sparkSession
     path = new_path(spark, name)
     (df.coalesce(files) if files else df).write.options(compression="zstd", **options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(*staged_: DataFrame) -> None:
+    """Remove what staged() or bucketed() wrote, once nothing is read from it any more, and let the driver forget finished shuffles, whose files go too."""
+    for df in staged_:
+        delete(df.sparkSession, df.staged_at)
+    for df in staged_[:1]:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def bucketed(df: DataFrame, key: str, name: str, deal: bool = True) -> DataFrame:
@@ -72,7 +84,9 @@ def bucketed(df: DataFrame, key: str, name: str, deal: bool = True) -> DataFrame
     entry = f"quillspark_{name}_{path.rpartition('-')[2]}"
     (df.repartition(n, key) if deal else df).write.option("path", path).option("compression", "zstd").bucketBy(n, key).saveAsTable(entry)
     at_exit(lambda: spark.sql(f"DROP TABLE IF EXISTS {entry}"))
-    return spark.table(entry)
+    out = spark.table(entry)
+    out.staged_at = path
+    return out
 
 
 def rows(batches: Iterator[pa.RecordBatch], limit: int = 4 << 20) -> Iterator[tuple[list, list[str]]]:

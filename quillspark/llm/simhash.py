@@ -18,9 +18,11 @@ The pipeline's stage (deduplicated) links texts by the Jaccard similarity of the
 similarity are its parameters. A 64-bit fingerprint can't filter for that: pairs at 0.8 differ in ten bits or so, some in eighteen, as do
 one in some 2,700 pairs of unrelated fingerprints. So candidates are found by prefixes instead: with any fixed order of shingles, two sets of
 similarity s share one of the first n - ceil(s n) + 1. The order puts shingles that are frequent in a sample last, which changes only the cost.
-Equal sets are one class. Every candidate is checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly. In long lists
-of a shingle, centres are compared with the rest in rounds, four times as many in each; members already in the centre's component are passed over. So
-a large group of near copies costs its size and not its pairs, and no list is capped: rounds go on until all pairs are compared or connected.
+Equal sets are one class. Candidates that their sizes, or bit marks of their sets, show to be less similar are passed over, by bounds that no similar
+pair exceeds; all others are checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly. In a first round each text is
+compared with one centre; then, in long lists of a shingle, centres are compared with the rest in rounds, four times as many in each; members already in
+the centre's component are passed over. So a large group of near copies costs its size and not its pairs, and no list is capped: rounds go on until all
+pairs are compared or connected.
 """
 
 from __future__ import annotations
@@ -32,12 +34,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import bucketed, own_name, rows, staged, two
+from quillspark.llm.common import bucketed, discard, own_name, rows, staged, two
 
 WORDS, SEED, SEGMENTS, FAR, LIST = 3, 42, 8, 2, 32
 NEAR_WORDS, SIMILARITY = 5, 0.8
 #: Rows whose shingles are counted for the order, and the most frequent shingles that it puts last; lists of a shingle that are short.
-SAMPLE, FREQUENT, SHORT = 10_000, 200_000, 8
+SAMPLE, FREQUENT, SHORT, MARKS = 10_000, 200_000, 8, 8
 #: Links in a file while components are contracted.
 EDGES = 500_000
 
@@ -129,13 +131,20 @@ def components(edges: DataFrame) -> DataFrame:
         return sym.join(low.hint("shuffle_merge"), "a")
 
     before, edges = None, staged(edges, "links")
-    files = 1 + edges.count() // EDGES  # few links go into few files
+    files = 1 + edges.count() // EDGES  # links shrink in number: they never need more
     while True:
+        last = edges
+        if files == 1:  # EDGES links at most: a single task needs no shuffle
+            edges = edges.coalesce(1)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if files == 1:
+            both = both.coalesce(1)
         large = smallest(both).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         small = smallest(large)
-        edges = staged(small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b"))).where("a != b").distinct(), "stars", files)
+        ends = F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))
+        edges = staged(small.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a != b").distinct(), "stars", files)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003), F.bit_xor(F.xxhash64("a", "b"))).collect()[0]  # three numbers
+        discard(last)
         if now == before:
             return edges.select("a", F.col("b").alias("root"))
         before = now
@@ -170,7 +179,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """id, key (a digest of the set), n and prefix of every text."""
+    """id, key (a digest of the set), n, marks (for each of 64 * MARKS bits, whether an odd number of shingles has it) and prefix of every text."""
     import xxhash
 
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))  # at most FREQUENT
@@ -178,32 +187,40 @@ def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches):
         often, counts = shared.value
         for ids, some in rows(batches):
-            keys, sizes, prefixes = [], [], []
+            keys, sizes, marks, prefixes = [], [], [], []
             for t in some:
                 h = np.unique(hashes(t, words))
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
+                odd = np.bincount((h % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
+                marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     h = h[np.argsort(np.where(often[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "marks", "prefix"])
 
-    return texts.mapInArrow(run, "id long, key string, n long, prefix array<long>")
+    return texts.mapInArrow(run, "id long, key string, n long, marks array<long>, prefix array<long>")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are similar."""
+def _may(similarity: float) -> Column:
+    """Whether sets of n and m shingles can be similar: by their sizes, and as they differ in one shingle at least for each bit of marks."""
+    differ = sum((F.bit_count(F.get("x", F.lit(k)).bitwiseXOR(F.get("y", F.lit(k)))) for k in range(1, MARKS)), F.bit_count(F.get("x", F.lit(0)).bitwiseXOR(F.get("y", F.lit(0)))))
+    return (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6) & (differ * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("m")) + 1e-6)
+
+
+def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs (a, b) those whose sets are similar; and the table of sets, which may go when they are stored."""
 
     def run(batches):
         for ids, some in rows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([np.unique(hashes(t, words)).view(np.int64) for t in some], pa.list_(pa.int64()))], ["id", "s"])
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = staged(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, s array<long>"), "sets")
+    sets = bucketed(texts.join(ids, "doc_id", "left_semi").select("doc_id", "text").mapInArrow(run, "id long, s array<long>"), "id", "sets", deal=False)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - 1e-6).select("a", "b")
+    return both.where(shared * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), sets
 
 
 def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -212,30 +229,33 @@ def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = S
     Texts in buckets of doc_id aren't shuffled for the checks of candidates.
     """
     every = staged(_sets(texts, words, similarity), "sets")
-    classes = staged(every.groupBy("key").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    classes = staged(every.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "marks", "prefix")]), "classes")
     w = Window.partitionBy("token")
-    lists = classes.select(F.explode("prefix").alias("token"), "id", "n").withColumn("size", F.count("*").over(w)).where("size > 1")
-    lists = staged(lists.withColumn("k", F.row_number().over(w.orderBy("id"))), "lists")
-    edges, tested, stars, done, wide = None, None, None, 0, 1
+    lists = classes.select(F.explode("prefix").alias("token"), "id").withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("k", F.row_number().over(w.orderBy("id")))
+    lists = staged(lists.join(classes.select("id", "n", F.col("marks").alias("x")), "id"), "lists")
+    edges, tested, stars, done, wide = None, None, None, 0, 0
     while True:
         left = lists
         if stars is not None:  # lists with members of two components or more, and centres left
-            left = lists.where((F.col("size") > SHORT) & (F.col("size") > done + 1)).join(stars.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            left = left.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").select("token", "id", "n", "size", "k", "root")
+            left = lists.where((F.col("size") > SHORT) & (F.col("size") > done + 1) if done else F.lit(True)).join(stars.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+            left = left.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").drop("low", "high")
         else:
             left = left.withColumn("root", F.col("id"))
         left = staged(left, "left")
         if left.isEmpty():
             break
-        centres = left.where((F.col("k") > done) & ((F.col("k") <= done + wide) | (F.col("size") <= SHORT))).select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("k").alias("c"), F.col("root").alias("r"))
-        met = left.join(centres, "token").where((F.col("k") > F.col("c")) & (F.col("root") != F.col("r")) & (F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-6))
-        pairs = met.select("a", F.col("id").alias("b")).distinct()
+        # at first each list's least member is its centre, and a text is compared with the least of its lists' centres only
+        centre = (F.col("k") == 1) if not wide else (F.col("k") > done) & ((F.col("k") <= done + wide) | (F.col("size") <= SHORT))
+        centres = left.where(centre).select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("k").alias("c"), F.col("root").alias("r"))
+        met = left.join(centres, "token").where((F.col("k") > F.col("c")) & (F.col("root") != F.col("r")) & _may(similarity))
+        pairs = met.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b") if not wide else met.select("a", F.col("id").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = _alike(pairs, texts, words, similarity)
+        found, sets = _alike(pairs, texts, words, similarity)
         tested = pairs if tested is None else tested.unionByName(pairs)
         edges = staged((found if edges is None else edges.unionByName(found)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         stars = components(edges)
-        done, wide = done + wide, 4 * wide
+        discard(sets, left)
+        done, wide = done + wide, 4 * wide or 1
     named = classes.select("key", "id") if stars is None else classes.join(stars, classes.id == stars.a, "left").select("key", F.coalesce("root", "id").alias("id"))
     return every.select("id", "key").withColumnRenamed("id", "doc_id").join(named.withColumnRenamed("id", "component_id"), "key").select("doc_id", "component_id")
 
