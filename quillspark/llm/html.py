@@ -7,14 +7,16 @@ content is the article, and all of its blocks are its text, short paragraphs and
 part of an article (menus, page headers and footers, sidebars, forms, scripts, and those whose class, id or role says notice, advert,
 comments and the like) are left out first, but not a form or named element that holds the article itself.
 
-Null html is empty; a page without text gives an empty string. Very long and unclosed markup is read to its end.
-Repeated rows give repeated results.
+Null html is empty; a page without text gives an empty string. Very long and unclosed markup is read to its end, in linear time.
+Repeated rows give repeated results, a null page_id or url stays null, an empty table gives an empty one, and other columns are left out.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +37,10 @@ CLOSES_P = BLOCKS - {"body", "html", "caption", "dd", "dt", "li", "tbody", "td",
 #: What a name may start with before one of WORDS, and what makes a name one of layout or state.
 BEFORE = frozenset("site page left right top bottom global main primary secondary post article user entry social".split())
 LAYOUT = frozenset("no not non without with has is hide hidden layout open enabled disabled visible active content container page body".split())
+#: Open elements that a start tag ends, and those beyond which none is looked for.
+ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th", "p"), "th": ("td", "th", "p"), "tr": ("tr",)}
+STOPS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}
+P_STOPS = ("td", "th", "li", "table", "div", "section", "article", "blockquote")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 IN_HEAD = frozenset("title meta link base basefont bgsound noscript template".split())
 SKIPPED = frozenset("button select svg noscript template".split())
@@ -57,7 +63,7 @@ def _named(name: str) -> bool:
     return not (tokens[1] in ("header", "masthead") and tokens[0] in ("main", "post", "article", "entry", "page"))
 
 
-def _leave_out(tag: str, attributes: str, path: list[str]) -> int:
+def _leave_out(tag: str, attributes: str, at_home: bool) -> int:
     """2: never part of an article; 1: said to be none, by its name or as a form; 0: may be."""
     has: dict[str, str] = {}
     for name, value in ATTRIBUTE.findall(attributes):
@@ -66,7 +72,7 @@ def _leave_out(tag: str, attributes: str, path: list[str]) -> int:
         return 2
     if tag in ("form", "fieldset"):
         return 1
-    if tag in NEVER or tag == "header" and not any(h in path for h in HOMES):
+    if tag in NEVER or tag == "header" and not at_home:
         return 2
     if tag in ("html", "body", *HOMES, *HEADINGS):
         return 0
@@ -75,34 +81,71 @@ def _leave_out(tag: str, attributes: str, path: list[str]) -> int:
     return 0
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
-    """(path, text) of every block that could be content, in page order; a path's steps are tags and the element's number.
+class Tree:
+    """The page's block elements, numbered as they open; 0 stands for the page. An element's descendants have the numbers up to last."""
+
+    def __init__(self):
+        self.parent, self.tag, self.kind = [0], [""], [0]
+        self.kinds: dict[tuple[int, str], int] = {}  # tag paths, by the path above and the tag
+
+    def add(self, parent: int, tag: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.kind.append(self.kinds.setdefault((self.kind[parent], tag), 1 + len(self.kinds)))
+        return len(self.parent) - 1
+
+    def up(self, node: int) -> Iterator[int]:
+        while node:
+            yield node
+            node = self.parent[node]
+
+    def shared(self, low: int, high: int) -> int:
+        """The deepest element with both in it; with the least and the greatest of some elements, the one with them all."""
+        above = {*self.up(low)}
+        return next((n for n in self.up(high) if n in above), 0)
+
+    def last(self, node: int) -> int:
+        """The greatest number in it."""
+        inside = node
+        for n in range(node + 1, len(self.parent)):
+            if not node <= self.parent[n] <= inside:
+                break
+            inside = n
+        return inside if node else len(self.parent) - 1
+
+
+def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
+    """The tree, and (element, text) of every block that could be content, in page order, in time linear in the page.
 
     An element that is left out only for its name or as a form stays where no article or main lies outside of such elements and it holds a
     fourth of the page's text with an article or main in it, or over half of the text.
     """
-    out, path, held, skip, number, at = [], [], [], 0, 0, 0
-    said: list[int] = []  # the open elements that are left out by name
-    homes, ends_at = [], {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
+    tree, out, held, skip, at = Tree(), [], [], 0, 0
+    opened: list[tuple[str, int, int, int]] = []  # tag, block element, element that is left out by name, how it is left out
+    count: Counter[str] = Counter()
+    said, homes = [0], []  # of the elements that are left out by name, the one around each; those around an article or main
+    ends_at = {m[1].lower(): m.start() for m in CLOSING.finditer(page)}
 
     def flush():
         if held:
             if text := " ".join(entities.unescape("".join(held)).split()):
-                out.append((tuple(p for p in path if p[0] in BLOCKS), text, tuple(said)))
+                out.append((opened[-1][1] if opened else 0, text, opened[-1][2] if opened else 0))
             held.clear()
 
     def leave(k: int):
         """Close the element at place k of the path and all within it."""
         nonlocal skip
-        if any(t in BLOCKS for t, _, _ in opened[k:]):
+        if any(t in BLOCKS or s == 1 for t, _, _, s in opened[k:]):
             flush()
-        skip -= sum(s == 2 for _, _, s in opened[k:])
-        if gone := sum(s == 1 for _, _, s in opened[k:]):
-            flush()
-            del said[-gone:]
-        del opened[k:], path[k:]
+        for t, _, _, s in opened[k:]:
+            count[t] -= 1
+            skip -= s == 2
+        del opened[k:]
+
+    def lowest(tags) -> int | None:
+        """Place of the outermost open element of tags."""
+        return next(k for k, x in enumerate(opened) if x[0] in tags) if any(count[t] for t in tags) else None
 
-    opened: list[tuple[str, int, int]] = []
     for m in TOKEN.finditer(page):
         if m.start() > at:
             if opened and opened[-1][0] == "head" and not page[at : m.start()].isspace():
@@ -114,22 +157,21 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
             continue
         tag = m[3].lower()
         if m[2]:
-            if any(t == tag for t, _, _ in opened):
-                leave(max(k for k, (t, _, _) in enumerate(opened) if t == tag))
+            if count[tag]:
+                leave(next(k for k in range(len(opened) - 1, -1, -1) if opened[k][0] == tag))
             continue
-        if tag not in IN_HEAD:  # the head ends where the body's first element is, with or without a tag
-            if k := [(i,) for i, (t, _, _) in enumerate(opened) if t in ("head", "title")]:
-                leave(k[0][0])
-        over = ("button", "select", "svg") if tag in BLOCKS and tag != "hr" and not any(t == "foreignobject" for t, _, _ in opened) else (tag,) if tag in ("button", "select") else ()
-        if over and (k := [(i,) for i, (t, _, _) in enumerate(opened) if t in over]):
-            leave(k[0][0])
+        if tag not in IN_HEAD and (k := lowest(("head", "title"))) is not None:
+            leave(k)  # the head ends where the body's first element is, with or without a tag
+        over = ("button", "select", "svg") if tag in BLOCKS and tag != "hr" and not count["foreignobject"] else (tag,) if tag in ("button", "select") else ()
+        if over and (k := lowest(over)) is not None:
+            leave(k)
         if tag == "br":
             if not skip:
                 held.append(" ")
             continue
-        ends = {"p"} if tag in CLOSES_P else {"li"} if tag == "li" else {"dt", "dd"} if tag in ("dt", "dd") else {"td", "th", "p"} if tag in ("td", "th") else {"tr"} if tag == "tr" else set()
-        if ends:
-            stop = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "td": ("tr", "table"), "th": ("tr", "table"), "tr": ("table",)}.get(tag, ("td", "th", "li", "table", "div", "section", "article", "blockquote"))
+        ends = ("p",) if tag in CLOSES_P else ENDS.get(tag, ())
+        if any(count[t] for t in ends):
+            stop = STOPS.get(tag, P_STOPS)
             for k in range(len(opened) - 1, -1, -1):
                 if opened[k][0] in stop:
                     break
@@ -140,17 +182,18 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
             flush()
         if tag in VOID:
             continue
-        number += 1
-        out_of = _leave_out(tag, m[4], [t for t, _, _ in opened])
+        out_of = _leave_out(tag, m[4], any(count[h] for h in HOMES))
         if tag in SKIPPED and ends_at.get(tag, -1) < at:  # never closed
             out_of = 0
+        node, name = opened[-1][1:3] if opened else (0, 0)
         if out_of == 1:
             flush()
-            said.append(number)
+            said.append(name)
+            name = len(said) - 1
         if tag in HOMES and not skip:
-            homes.append(tuple(said))
-        opened.append((tag, number, out_of))
-        path.append((tag, number))
+            homes.append(name)
+        opened.append((tag, tree.add(node, tag) if tag in BLOCKS else node, name, out_of))
+        count[tag] += 1
         skip += out_of == 2
     if at < len(page):
         if opened and opened[-1][0] == "head" and not page[at:].isspace():
@@ -158,23 +201,27 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, int], ...], str]]:
         if not skip:
             held.append(page[at:])
     flush()
-    stay: set[int] = set()
-    if () not in homes:
-        total, size = sum(len(t) for _, t, _ in out), {}
-        for _, t, names in out:
-            for x in names:
-                size[x] = size.get(x, 0) + len(t)
-        around = {x for names in homes for x in names}
-        stay = {x for x, n in size.items() if 2 * n > total or x in around and 4 * n >= total}
-    return [(p, t) for p, t, names in out if stay.issuperset(names)]
+    stays = [True] + [False] * (len(said) - 1)
+    if 0 not in homes:
+        size, around = [0] * len(said), [False] * len(said)
+        for _, t, name in out:
+            size[name] += len(t)
+        for name in homes:
+            around[name] = True
+        total = sum(size)
+        for x in range(len(said) - 1, 0, -1):  # from within
+            size[said[x]] += size[x]
+            around[said[x]] |= around[x]
+        for x in range(1, len(said)):
+            stays[x] = stays[said[x]] and (2 * size[x] > total or around[x] and 4 * size[x] >= total)
+    return tree, [(node, t) for node, t, name in out if stays[name]]
 
 
 def main_text(page: str | None) -> str:
-    found = blocks(page or "")
+    tree, found = blocks(page or "")
     if not found:
         return ""
-    names = ["/".join(t for t, _ in p) for p, _ in found]
-    kinds, place = np.unique(names, return_inverse=True)
+    place = np.unique([tree.kind[n] for n, _ in found], return_inverse=True)[1]
     n = np.bincount(place)
     length = np.bincount(place, [len(t) for _, t in found]) / n
     marks = np.bincount(place, [len(PUNCTUATION.findall(t)) for _, t in found]) / n
@@ -182,19 +229,14 @@ def main_text(page: str | None) -> str:
     smooth = lambda x: np.convolve(np.pad(x, 1, mode="edge"), kernel, "valid")
     fused = smooth(length[place]) * (1 + smooth(marks[place]))
     content = fused >= min(fused.std(), fused.mean()) if len(fused) > 1 else np.array([True])
-    weight = np.array([len(t) for _, t in found]) * content
     # the deepest element with all of the content, then the article, main or other container that it's in
-    held = [p for (p, _), w in zip(found, weight) if w]
-    best = held[0]
-    for p in held:
-        best = best[: next((j for j, (x, y) in enumerate(zip(best, p)) if x != y), min(len(best), len(p)))]
-    home = max((j for j, (t, _) in enumerate(best) if t in HOMES), default=None)
+    nodes = [node for (node, _), c in zip(found, content) if c]
+    best = list(tree.up(tree.shared(min(nodes), max(nodes))))
+    home = next((x for x in best if tree.tag[x] in HOMES), None)
     if home is None:
-        inside = max((j for j, (t, _) in enumerate(best) if t in ("section", "div", "td", "body", "html")), default=-1)
-        best = best[: inside + 1]
-    else:
-        best = best[: home + 1]
-    return "\n".join(t for p, t in found if p[: len(best)] == best)
+        home = next((x for x in best if tree.tag[x] in ("section", "div", "td", "body", "html")), 0)
+    last = tree.last(home)
+    return "\n".join(t for node, t in found if home <= node <= last)
 
 
 SCHEMA = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])

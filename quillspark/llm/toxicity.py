@@ -7,12 +7,13 @@ chosen words and word beginnings and a few measures of the text. The chain of th
 Training takes a bounded sample of labelled rows: about SAMPLE rows are expected, drawn by a hash of doc_id. Features are counted and
 chosen in Spark, FEATURES at most, by chi-square for and against each category; the sample's rows reach the driver only as the numbers of
 their chosen features. Null text is empty. Each category is learned from the rows with its own label, whatever the others are;
-labels without a document are left out; where a document has several labels the greater holds. Without
-labels every probability is 0. Repeated rows are scored alike.
+labels without a document, or with a null doc_id, are left out; where a document has several labels the greater holds. Without
+labels every probability is 0. Repeated rows, and rows with a null doc_id, are scored like others. An empty table of documents gives an empty one.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import rows, two
+from quillspark.llm.common import rows, staged, two
 
 SAMPLE, FEATURES, FOLDS, LEAST = 8000, 4096, 5, 4
 #: The chi-square of one degree of freedom that chance exceeds once in a thousand times.
@@ -121,8 +122,13 @@ def _looked_up(columns: dict[str, int], cache: dict, texts: list[str]) -> tuple[
     return indices, dense
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
-    """A chain from documents and labels (doc_id and a 0/1 column a category, in the order of the chain)."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, least: int = LEAST) -> Chain:
+    """A chain from documents and labels (doc_id and a 0/1 column a category, in the order of the chain).
+
+    sample: labelled documents expected in training; features: words and beginnings chosen at most, over all categories; least: documents
+    that a feature must be in. Of several rows with one labelled doc_id the text first in order is learned from, so repeated rows don't
+    enlarge what reaches the driver.
+    """
     categories = [c for c in labels.columns if c != "doc_id"]
     y = labels.where("doc_id IS NOT NULL").where(F.coalesce(*categories).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(*[F.max(F.col(c)).cast("int").alias(c) for c in categories])
     total = y.count()
@@ -130,7 +136,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         return Chain(categories)
     share = min(1.0, sample / total)
     drawn = y.where(F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    rows_ = two(docs).join(drawn, "doc_id").select("doc_id", "text", F.array(*[F.coalesce(c, F.lit(-1)) for c in categories]).alias("y"))  # -1: no label
+    label = F.array(*[F.coalesce(c, F.lit(-1)) for c in categories]).alias("y")  # -1: no label
+    # about sample rows, written once: they are counted, measured and looked up
+    rows_ = staged(two(docs).join(drawn, "doc_id").groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", "y"), "labelled")
     n_cat = len(categories)
 
     def tally(batches):
@@ -143,6 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
             yield pa.RecordBatch.from_pylist([{"f": f, "n": [n * (x >= 0) for x in lab], "p": [n * (x > 0) for x in lab]} for (f, lab), n in seen.items()], schema=pa.schema([("f", pa.string()), ("n", pa.list_(pa.int64())), ("p", pa.list_(pa.int64()))]))
 
     counts = rows_.mapInArrow(tally, "f string, n array<long>, p array<long>").groupBy("f").agg(*[F.sum(F.get(x, F.lit(c))).alias(f"{x}{c}") for c in range(n_cat) for x in "np"])
+    counts = staged(counts.where(functools.reduce(lambda a, b: a | b, [F.col(f"n{c}") >= least for c in range(n_cat)])), "features")  # each category chooses from them
     base = rows_.agg(*[F.count_if(F.get("y", F.lit(c)) >= 0).alias(f"n{c}") for c in range(n_cat)], *[F.count_if(F.get("y", F.lit(c)) > 0).alias(f"p{c}") for c in range(n_cat)]).collect()[0]
     chosen: dict[str, int] = {}
     for c in range(n_cat):
@@ -150,7 +159,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Chain:
         if not 0 < a < b:
             continue
         worth = b * (p * b - n * a) ** 2 / (n * (b - n) * a * (b - a))  # chi-square, for or against the category
-        for r in counts.where((F.col(f"n{c}") >= LEAST) & (F.col(f"n{c}") < b)).withColumn("worth", worth).where(F.col("worth") >= CHANCE).orderBy(F.desc("worth"), "f").limit(FEATURES // n_cat).select("f").collect():
+        for r in counts.where((F.col(f"n{c}") >= least) & (F.col(f"n{c}") < b)).withColumn("worth", worth).where(F.col("worth") >= CHANCE).orderBy(F.desc("worth"), "f").limit(features // n_cat).select("f").collect():
             chosen.setdefault(r["f"], len(chosen))
 
     def looked_up(batches):
