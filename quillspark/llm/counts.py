@@ -187,9 +187,9 @@ def edited(stored: DataFrame, edits: Callable[[str], list] | DataFrame, vocabula
     path = vocabulary or default_vocabulary()
     if isinstance(edits, DataFrame):
         lists = edits.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "start", "end", "replacement"))).alias("edits"))
-        stored = stored.select("doc_id", "text", "lens", "tokens").join(lists, "doc_id", "left")
+        stored, found = stored.select("doc_id", "text", "lens", "tokens").join(lists, "doc_id", "left"), None
     else:
-        stored = stored.select("doc_id", "text", "lens", "tokens")
+        stored, found = stored.select("doc_id", "text", "lens", "tokens"), edits
 
     def run(batches):
         encoder = WordIds(path)
@@ -203,7 +203,7 @@ def edited(stored: DataFrame, edits: Callable[[str], list] | DataFrame, vocabula
             for k, (i, text) in enumerate(zip(b["doc_id"].to_pylist(), b["text"])):
                 text = text.as_py() or ""
                 n, before = int(at[k + 1] - at[k]), int(total[starts[k + 1]] - total[starts[k]])
-                todo = [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in b["edits"][k].as_py() or []] if "edits" in b else edits(text)
+                todo = [(e["start"] or 0, e["end"] or 0, e["replacement"] or "") for e in b["edits"][k].as_py() or []] if found is None else found(text)
                 if not todo:
                     got.append((i, n, before, 0, len(text), before, 0))
                     if keep:

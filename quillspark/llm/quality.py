@@ -1,12 +1,12 @@
 """Operator 4, quality rules: a short-circuit cascade, in DataFrame functions only.
 
-Each rule has a rejecting condition and a cost in characters that it looks at. On a sample of the rows the rules' rejections and
+Each rule has a rejecting condition and a cost, in characters that it looks at and how often. On a sample of the rows the rules' rejections and
 costs are estimated, and the rules are put in order of rejections per cost, each among the rows that the earlier ones leave.
 The cascade is one CASE WHEN: a row that an early rule rejects is not looked at by the later ones. The order changes what is
 computed, never the verdict.
 
 Null text has no words, so the base rule rejects it. Empty tables give empty results; with no sample the declared order holds.
-Repeated rows are judged alike. All columns of the input may stay (see kept()), whatever their names.
+Repeated rows, and rows with a null doc_id, are judged alike. All columns of the input may stay (see kept()), whatever their names.
 """
 
 from __future__ import annotations
@@ -36,33 +36,43 @@ def _c(name: str) -> Column:
     return F.col(MARK + name)
 
 
-def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the base measures as working columns. Word windows are compared by the 64-bit hash of their words."""
+def _bind(c: Column, f) -> Column:
+    """f of a column that is evaluated once, however often f uses it, and only where the whole is."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def repeat_words(w: Column) -> Column:
+    """Words in three-word windows that occur twice or more: the windows in order of their hashes (words decide where hashes agree), only where
+    a hash occurs twice; then the places of those with an equal neighbour, each covering up to three words."""
+    hashes = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
+    window = lambda h, i: F.struct(h.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+    places = lambda s: F.sort_array(F.transform(F.filter(s, lambda x, k: same(x, F.get(s, k - 1)) | same(x, F.get(s, k + 1))), lambda x: x["i"]))
+    covered = lambda p: F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), i + 3) - i)), F.lit(0), lambda n, x: n + x)
+    found = lambda t: F.when(F.size(F.array_distinct(t)) < F.size(t), _bind(F.sort_array(F.transform(t, window)), lambda s: _bind(places(s), covered)))
+    return F.coalesce(_bind(hashes, found), F.lit(0)).cast("long")
+
+
+def with_measures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add the cheap measures as working columns."""
     d = docs.withColumn(MARK + "text", F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
     words = F.split(F.btrim(_c("text"), F.lit(BLANKS)), GAP)
     d = d.withColumn(MARK + "w", F.when(F.btrim(_c("text"), F.lit(BLANKS)) == "", F.array().cast("array<string>")).otherwise(words))
-    w = _c("w")
-    windows = F.when(F.size(w) >= 3, F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))))
-    d = d.withColumns({MARK + "n_words": F.size(w).cast("long"), MARK + "word_chars": F.length(F.array_join(w, "")).cast("long"), MARK + "t": windows,
-                       MARK + "lines": F.filter(F.split(_c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
-    t, lines = _c("t"), _c("lines")
-    # the windows in order of their hashes, only where one occurs twice
-    d = d.withColumn(MARK + "s", F.when(F.size(F.array_distinct(t)) < F.size(t), F.sort_array(F.transform(t, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
-    s = _c("s")
-    twice = F.filter(s, lambda x, k: (F.get(s, k - 1)["h"].eqNullSafe(x["h"])) | (F.get(s, k + 1)["h"].eqNullSafe(x["h"])))
-    d = d.withColumn(MARK + "p", F.sort_array(F.transform(twice, lambda x: x["i"])))
-    p = _c("p")
-    covered = F.aggregate(F.transform(p, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1), i + 3) - i)), F.lit(0), lambda a, x: a + x)
+    d = d.withColumns({MARK + "n_words": F.size(_c("w")).cast("long"), MARK + "word_chars": F.length(F.array_join(_c("w"), "")).cast("long"), MARK + "lines": F.filter(F.split(_c("text"), "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))})
     # a filter on a verdict must not be pushed below this projection: it would take copies of all of these expressions along
     return d.withColumns({
         MARK + "bar": F.rand(0),
         MARK + "n_symbols": F.regexp_count(_c("text"), F.lit(SYMBOLS)).cast("long"),
-        MARK + "n_lines": F.size(lines).cast("long"),
-        MARK + "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
-        MARK + "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
+        MARK + "n_lines": F.size(_c("lines")).cast("long"),
+        MARK + "n_dup_lines": (F.size(_c("lines")) - F.size(F.array_distinct(_c("lines")))).cast("long"),
     })
 
 
+def with_base(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add all base measures as working columns."""
+    return with_measures(docs, text).withColumn(MARK + "n_repeat_words", repeat_words(_c("w")))
+
+
 def base_failed() -> Column:
     return (_c("n_words") < 50) | (100 * _c("n_repeat_words") > 50 * _c("n_words"))
 
@@ -72,6 +82,11 @@ def verdict(measured: DataFrame) -> Column:
     return F.when(_c("bar") < 0, F.lit("")).when(base_failed(), F.lit("base")).otherwise(cascade(measured))
 
 
+def base_rules() -> list[Rule]:
+    """The base rule in two, for a cascade that needn't tell it from the others. Looking for repeats costs most by far: some forty counts."""
+    return [Rule("few_words", _c("n_words") < 50, F.lit(0.0)), Rule("repeats", 100 * repeat_words(_c("w")) > 50 * _c("n_words"), 40 * F.length(_c("text")).cast("double"))]
+
+
 def default_rules() -> list[Rule]:
     """Thresholds in whole numbers: symbols at one to ten words, lines repeated, shouting, words of odd length, few letters."""
     text, n = _c("text"), _c("n_words")
@@ -118,9 +133,11 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """The rows that pass, with exactly the input's columns."""
-    d = with_base(docs)
-    return d.where(verdict(d).isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows that pass, with exactly the input's columns. The base rule is in the cascade too: rows that a cheaper rule rejects aren't
+    searched for repeats."""
+    d = with_measures(docs)
+    verdict = F.when(_c("bar") < 0, F.lit("")).otherwise(cascade(d, base_rules() + default_rules()))
+    return d.where(verdict.isNull()).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 #: The same in DuckDB, for the query's columns without the rule's name.

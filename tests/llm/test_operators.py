@@ -44,7 +44,7 @@ def by_id(df):
     return {r["doc_id"]: r for r in got}
 
 
-@pytest.mark.parametrize("f", [media.media_columns, token_store.stored_tokens, bpe.encode_decode, quality.quality, counts.counted, simhash.near_dedup, mixing.mix, langid.languages])
+@pytest.mark.parametrize("f", [lambda d: html.extracted(d.selectExpr("doc_id AS page_id", "text AS html", "source AS url")), lambda d: toxicity.toxicity(d, d.selectExpr("doc_id", "i AS quality", "i AS toxic")), media.media_columns, token_store.stored_tokens, bpe.encode_decode, quality.quality, counts.counted, simhash.near_dedup, mixing.mix, langid.languages])
 def test_empty_tables(empty, f):
     assert f(empty).count() == 0
 
@@ -64,16 +64,76 @@ def test_media(docs):
     assert got[1]["media_sha256"] == got[2]["media_sha256"] and got[1]["feature"] == got[2]["feature"] != got[3]["feature"]
 
 
+class Writer:
+    """Another writer's baseline image: three components, luminance twice as fine, restarts, AC coefficients, tables of its own."""
+
+    DC = {s: format(k, "04b") for k, s in enumerate(range(12))}
+    AC = {s: format(k, "05b") for k, s in enumerate([0x00, 0xF0, 0x01, 0x11, 0x23, 0x52, 0x0A])}
+
+    def __init__(self, rng, across, down, interval):
+        self.rng, self.dc = rng, []
+        segment = lambda kind, body: struct.pack(">BBH", 0xFF, kind, len(body) + 2) + body
+        table = lambda kind, codes, length: bytes([kind]) + bytes([len(codes) if n == length else 0 for n in range(1, 17)]) + bytes(codes)
+        frame = struct.pack(">BHHB", 8, down * 16 - 3, across * 16 - 5, 3) + bytes([1, 0x22, 0, 2, 0x11, 0, 3, 0x11, 0])
+        head = segment(0xE0, b"other") + segment(0xDB, bytes([0] + [8] * 64)) + segment(0xC0, frame) + segment(0xC4, table(0x00, self.DC, 4) + table(0x10, self.AC, 5)) + segment(0xDD, struct.pack(">H", interval))
+        scan, bits, last = b"", "", [0, 0, 0]
+        for m in range(across * down):
+            if m and m % interval == 0:
+                scan, bits, last = scan + self.bytes(bits) + bytes([0xFF, 0xD0 + (m // interval - 1) % 8]), "", [0, 0, 0]
+            for c in (0, 0, 0, 0, 1, 2):
+                value = rng.randrange(-100, 101)
+                bits, last[c] = bits + self.block(value - last[c]), value
+                if c == 0:
+                    self.dc.append(value)
+        self.media = b"\xff\xd8" + head + segment(0xDA, bytes([3, 1, 0, 2, 0, 3, 0, 0, 63, 0])) + scan + self.bytes(bits) + b"\xff\xd9"
+        grid = np.array(self.dc).reshape(down, across, 2, 2).transpose(0, 2, 1, 3).reshape(down * 2, across * 2)
+        self.thumbnail = np.clip(grid[: -(-(down * 16 - 3) // 8), : -(-(across * 16 - 5) // 8)] + 128, 0, 255)
+
+    def number(self, v):
+        n = abs(v).bit_length()
+        return format(v if v > 0 else v + (1 << n) - 1, f"0{n}b") if n else ""
+
+    def block(self, diff):
+        out, z = self.DC[abs(diff).bit_length()] + self.number(diff), 1
+        while z < 50 and self.rng.random() < 0.6:
+            symbol = self.rng.choice([0xF0, 0x01, 0x11, 0x23, 0x52, 0x0A])
+            run, size = divmod(symbol, 16)
+            if z + run > 62:
+                break
+            out, z = out + self.AC[symbol] + "1" * size, z + run + 1
+        return out + self.AC[0]
+
+    def bytes(self, bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits or "0", 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+@pytest.mark.parametrize("shape", [(1, 1, 1), (5, 3, 2), (7, 4, 100)])
+def test_media_of_another_writer(shape):
+    w = Writer(random.Random(sum(shape)), *shape)
+    own = media.encode(bytes(64))
+    (got,), (both_a, both_b) = media.thumbnails(w.media), media.thumbnails(w.media + own)
+    assert (got == w.thumbnail).all() and (both_a == got).all() and both_b.tobytes() == bytes(64)
+
+
+def test_media_that_cannot_be_read(spark):
+    whole = media.encode(bytes(range(64)))
+    progressive = whole.replace(b"\xff\xc0", b"\xff\xc2", 1)
+    data = [(1, 64, whole), (2, 0, progressive), (3, 0, whole[:-40]), (4, 0, None), (5, 0, b"text"), (None, 64, whole)]
+    d = spark.createDataFrame([(i, n, None if m is None else bytearray(m)) for i, n, m in data], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in media.features(d).collect()}
+    assert got[1]["payload_sha256"] == hashlib.sha256(bytes(range(64))).hexdigest() == got[None]["payload_sha256"]
+    assert all(got[i]["payload_sha256"] is None and got[i]["feature"] is None for i in (2, 3, 4, 5)) and got[4]["media_sha256"] is None
+
+
 @pytest.mark.parametrize("n", [64, 640, 64 * 8128, 64 * 8128 + 64])
 def test_media_round_trip(n):
     p = random.Random(n).randbytes(n)
     assert media.decode(media.encode(p)) == p
 
 
-def test_media_general_decoder(monkeypatch):
-    p = random.Random(3).randbytes(1280)
-    monkeypatch.setattr(media, "_even", lambda *a: None)
-    assert media.decode(media.encode(p)) == p
+def test_media_codes_differ_in_length():
+    assert len(media.encode(b"a" * 6400)) < len(media.encode(random.Random(1).randbytes(6400))) / 3
 
 
 def test_encodings(docs, library):
@@ -88,6 +148,95 @@ def test_encodings(docs, library):
         start += len(all_)
 
 
+def test_repeated_and_null_ids(spark, library, tmp_path):
+    """Rows with one id, and without one: starts follow the files, no row is lost, and each operator has a row for each."""
+    texts = ["one two three", "a", None, "one two three", "b " * 50, "", "zz", "a"]
+    ids = [5, 5, None, 5, None, 2, 7, 5]
+    d = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(3)
+    token_store.write(d, str(tmp_path / "t"), partitions=3)
+    stored = token_store.read(spark, str(tmp_path / "t"))
+    got = sorted(((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_store.digests(stored).collect()))
+    assert [g[0] for g in got] == [sum(x[2] for x in got[:k]) for k in range(len(got))]
+    assert [g[1] for g in got] == sorted(ids, key=lambda i: (i is not None, i or 0))
+    want = sorted(zlib.crc32(struct.pack(f"<{len(a)}I", *a)) for a in ([*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts))
+    assert sorted(g[3] for g in got) == want
+    for f in (bpe.encode_decode, quality.quality, counts.counted, simhash.near_dedup, mixing.mix, media.media_columns):
+        rows = f(d.selectExpr("*", "'s' AS source")).collect()
+        assert sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in rows) == sorted((i is not None, i or 0) for i in ids), f
+    langs = langid.languages(d.selectExpr("*", "'en' AS lang")).collect()
+    assert len(langs) == len(ids) and all(not r["held_out"] for r in langs if r["doc_id"] is None)
+
+
+def test_token_files_prune(spark, tmp_path):
+    """Files are in order of ids, so a file's statistics shut out ids; Bloom filters on doc_id are there; ids come back whole."""
+    import pyarrow.orc as orc
+
+    d = spark.range(4000).selectExpr("id * 3 AS doc_id", "concat('text ', id) AS text").repartition(5)
+    token_store.write(d, str(tmp_path / "t"), partitions=4)
+    bounds = []
+    for f in sorted((tmp_path / "t").glob("part-*")):
+        t = orc.ORCFile(str(f))
+        ids = t.read(columns=["doc_id"]).column(0).to_pylist()
+        bounds.append((ids[0], ids[-1]))
+        assert ids == sorted(ids) and t.nstripes >= 1
+    assert all(a[1] < b[0] for a, b in itertools.pairwise(bounds)) and len(bounds) == 4
+    options = spark.read.schema("doc_id long, ids array<int>").orc(str(tmp_path / "t"))
+    q = options.where("doc_id = 3000")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,3000)]" in q._jdf.queryExecution().toString() and q.count() == 1
+    assert options.where("doc_id = 3001").count() == 0
+
+
+def test_trees_are_stored_and_edited_again(spark, library, tmp_path):
+    rng = random.Random(2)
+    texts = {i: " ".join(rng.choice(["foo", "bar,", "日本", "x1", "\n\n", "don't"]) for _ in range(rng.randint(0, 300))) for i in range(30)}
+    d = spark.createDataFrame([*texts.items(), (None, "no id"), (3, texts[3])], "doc_id long, text string")
+    first = [(i, k, a := rng.randint(0, 400), a + rng.randint(0, 9), rng.choice(["", "new words ", "é"])) for i in range(0, 30, 3) for k in range(3)]
+    second = [(i, 0, 5, 8, "again") for i in range(0, 30, 2)]
+    kind = "doc_id long, seq int, start int, end int, replacement string"
+    stored = counts.trees(d)
+    for some in (first, second):
+        after = counts.edited(stored, spark.createDataFrame(some, kind))
+        after.write.parquet(path := str(tmp_path / str(len(some))))
+        stored = spark.read.parquet(path)
+        for i, _, a, z, new in sorted(some):
+            t = texts[i]
+            a, z = min(a, len(t)), min(z, len(t))
+            texts[i] = t[:a] + new + t[z:]
+    got = stored.collect()
+    assert len(got) == 32 and {r["text"] for r in got if r["doc_id"] is None} == {"no id"}
+    for r in got:
+        if r["doc_id"] is not None:
+            t = texts[r["doc_id"]]
+            assert r["text"] == t and r["n_chars"] == len(t) == sum(r["lens"]) and r["n_tokens"] == sum(r["tokens"]) == len(library.encode(t, add_special_tokens=False).ids)
+    assert sum(r["reencoded_chars"] for r in got) < sum(map(len, texts.values()))
+
+
+def test_long_texts_are_read_in_linear_time(spark):
+    """A run of letters, digits, unclosed elements: each was quadratic once."""
+    import time
+
+    began = time.time()
+    assert counts.redactions("a" * 300_000) == [] and len(counts.redactions("1234567 x@y.zz " * 10_000)) == 20_000
+    assert html.main_text("<div>x" * 20_000).count("x") == 20_000
+    assert sum(map(len, langid.words_of("word " * 300_000))) == 300_000
+    model = langid.Model(["a", "b"], np.zeros((langid.BINS, 2), np.float32), np.ones((langid.N_SCRIPTS, 2), bool))
+    assert len(langid.labelled(model, ["word other " * 200_000])[0][2]) == 400_000
+    assert time.time() - began < 60
+
+
+def test_numerals_are_no_letters():
+    assert langid.WORD.findall("½ ² Ⅷ ab½c") == ["ab", "c"] and langid.labelled(langid.Model(["a"], np.zeros((langid.BINS, 1), np.float32), np.ones((langid.N_SCRIPTS, 1), bool)), ["½ ²"])[0][0] == "und"
+
+
+def test_white_space_that_libraries_differ_in(library):
+    rng, b = random.Random(3), bpe.bpe(bpe.default_vocabulary())
+    letters = [*bpe.MAYBE_WHITE, *"abc.,'s12éπ日", *[" "] * 10]
+    for _ in range(3000):
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, 14)))
+        assert [i for w in b.words(t) for i in b.ids(w)] == library.encode(t, add_special_tokens=False).ids
+        assert b.whole(t) in (None, library.encode(t, add_special_tokens=False).ids)
+
+
 def test_edits(library):
     rng, encoder = random.Random(1), counts.WordIds(bpe.default_vocabulary())
     bits = [" ", "  ", "\n", "\n\n", "a", "foo", "bar,", "'s", "é", " x", "12", "<|endoftext|>", "<|", "|>", "\t", "日本", "!!", "don't"]
@@ -257,6 +406,44 @@ def test_html():
     assert html.main_text("<div id=c><p>Some text, here.</p><p>More.</p>") == "Some text, here.\nMore."
 
 
+def test_html_of_whole_pages(spark):
+    """The article of every page of the table, read by another parser: its blocks' texts, but for what is never of an article."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        blocks = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "article", "main", "div", "section", "table", "tr", "td", "th", "pre", "br", "figure", "figcaption", "header", "hr"}
+
+        def __init__(self):
+            super().__init__()
+            self.inside, self.parts, self.skip = 0, [], 0
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside += 1
+            if self.inside and tag in self.blocks:
+                self.parts.append("\n" if tag != "br" else " ")
+
+        def handle_endtag(self, tag):
+            if self.inside and tag in self.blocks:
+                self.parts.append("\n")
+            if tag == "article":
+                self.inside -= 1
+
+        def handle_data(self, data):
+            if self.inside:
+                self.parts.append(data.replace("\n", " "))
+
+    got = html.extracted(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    same = 0
+    for r in got:
+        a = Article()
+        a.feed(pages[r["page_id"]])
+        want = [" ".join(x.split()) for x in "".join(a.parts).split("\n")]
+        same += r["text"].split("\n") == [x for x in want if x]
+    assert len(got) == len(pages) and same >= 0.98 * len(got)
+
+
 def test_html_split_article():
     long = lambda x, n: f"<p>{' '.join([f'{x} sentence, with words.'] * n)}</p>"
     text = html.main_text(f"<body><div class=story><div>{long('First', 85)}</div><div>{long('Second', 15)}</div></div>")
