@@ -19,7 +19,8 @@ similarity are its parameters. A 64-bit fingerprint can't filter for that: pairs
 one in some 2,700 pairs of unrelated fingerprints. So candidates are found by prefixes instead: with any fixed order of shingles, two sets of
 similarity s share one of the first n - ceil(s n) + 1. The order puts shingles that are frequent in a sample last, which changes only the cost.
 Equal sets are one class. Candidates that their sizes, or bit marks of their sets, show to be less similar are passed over, by bounds that no similar
-pair exceeds; all others are checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly. In a first round each text is
+pair exceeds: first few marks, which the lists carry, then those in proportion to the set, which leave hardly any pair under the similarity. All others are
+checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly; only their texts are hashed again, and only their sets move. In a first round each text is
 compared with one centre; then, in long lists of a shingle, centres are compared with the rest in rounds, four times as many in each; members already in
 the centre's component are passed over. So a large group of near copies costs its size and not its pairs, and no list is capped: rounds go on until all
 pairs are compared or connected.
@@ -179,7 +180,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """id, key (a digest of the set), n, marks (for each of 64 * MARKS bits, whether an odd number of shingles has it) and prefix of every text."""
+    """id, key (a digest of the set), n, marks (for each of 64 * MARKS bits, whether an odd number of shingles has it), bits (_bits) and prefix of every text."""
     import xxhash
 
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))  # at most FREQUENT
@@ -187,20 +188,39 @@ def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches):
         often, counts = shared.value
         for ids, some in rows(batches):
-            keys, sizes, marks, prefixes = [], [], [], []
+            keys, sizes, marks, bits, prefixes = [], [], [], [], []
             for t in some:
                 h = np.unique(hashes(t, words))
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
                 odd = np.bincount((h % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(_bits(h))
                 if len(often):
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     h = h[np.argsort(np.where(often[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(marks, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "key", "n", "marks", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in (marks, bits, prefixes)]], ["id", "key", "n", "marks", "bits", "prefix"])
 
-    return texts.mapInArrow(run, "id long, key string, n long, marks array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "id long, key string, n long, marks array<long>, bits array<long>, prefix array<long>")
+
+
+def _bits(h: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set has each bit; four bits a shingle at least, and a power of two of words, so that longer ones fold onto shorter ones."""
+    words = 1 << max(0, -(-4 * len(h) // 64) - 1).bit_length()
+    out, at = np.zeros(words, np.uint64), h & np.uint64(64 * words - 1)
+    np.bitwise_xor.at(out, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def _close(pairs: DataFrame, bits: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) without those whose bits differ in more places than the sets of a similar pair differ in shingles."""
+    xor = lambda u, v: u.bitwiseXOR(v)
+    half = lambda x: F.zip_with(F.slice(x, F.lit(1), F.floor(F.size(x) / 2).cast("int")), F.slice(x, F.floor(F.size(x) / 2).cast("int") + 1, F.floor(F.size(x) / 2).cast("int")), xor)
+    both = pairs.join(bits.select(F.col("id").alias("a"), F.col("n").alias("m"), F.col("bits").alias("x")), "a").join(bits.select(F.col("id").alias("b"), "n", F.col("bits").alias("y")), "b")
+    both = both.withColumn("p", F.when(F.size("x") > F.size("y"), half("x")).otherwise(F.col("x"))).withColumn("q", F.when(F.size("y") > F.size("x"), half("y")).otherwise(F.col("y")))
+    differ = F.aggregate(F.zip_with("p", "q", lambda u, v: F.bit_count(xor(u, v))), F.lit(0), lambda t, v: t + v)
+    return both.where(F.coalesce(differ, F.lit(0)) * (1 + similarity) <= (1 - similarity) * (F.col("n") + F.col("m")) + 1e-6).select("a", "b")
 
 
 def _may(similarity: float) -> Column:
@@ -228,12 +248,16 @@ def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = S
 
     Texts in buckets of doc_id aren't shuffled for the checks of candidates.
     """
-    every = staged(_sets(texts, words, similarity), "sets")
-    classes = staged(every.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "marks", "prefix")]), "classes")
+    found = staged(_sets(texts, words, similarity), "sets")
+    full = staged(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "marks", "bits", "prefix")]), "classes")
+    every, classes = staged(found.select("id", "key"), "keys"), staged(full.select("id", "key"), "names")
+    discard(found)
+    bits = bucketed(full.select("id", "n", "bits"), "id", "bits")
     w = Window.partitionBy("token")
-    lists = classes.select(F.explode("prefix").alias("token"), "id").withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("k", F.row_number().over(w.orderBy("id")))
-    lists = staged(lists.join(classes.select("id", "n", F.col("marks").alias("x")), "id"), "lists")
-    edges, tested, stars, done, wide = None, None, None, 0, 0
+    lists = full.select(F.explode("prefix").alias("token"), "id").withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("k", F.row_number().over(w.orderBy("id")))
+    lists = staged(lists.join(full.select("id", "n", F.col("marks").alias("x")), "id"), "lists")
+    discard(full)
+    edges, tested, stars, done, wide, spent = None, None, None, 0, 0, [bits, lists]
     while True:
         left = lists
         if stars is not None:  # lists with members of two components or more, and centres left
@@ -250,12 +274,15 @@ def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = S
         met = left.join(centres, "token").where((F.col("k") > F.col("c")) & (F.col("root") != F.col("r")) & _may(similarity))
         pairs = met.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b") if not wide else met.select("a", F.col("id").alias("b")).distinct()
         pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        found, sets = _alike(pairs, texts, words, similarity)
+        close = staged(_close(pairs, bits, similarity), "close")
+        found, sets = _alike(close, texts, words, similarity)
         tested = pairs if tested is None else tested.unionByName(pairs)
+        spent.append(pairs)
         edges = staged((found if edges is None else edges.unionByName(found)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
         stars = components(edges)
-        discard(sets, left)
+        discard(sets, left, close)
         done, wide = done + wide, 4 * wide or 1
+    discard(left, *spent)
     named = classes.select("key", "id") if stars is None else classes.join(stars, classes.id == stars.a, "left").select("key", F.coalesce("root", "id").alias("id"))
     return every.select("id", "key").withColumnRenamed("id", "doc_id").join(named.withColumnRenamed("id", "component_id"), "key").select("doc_id", "component_id")
 

@@ -516,3 +516,19 @@ def test_toxicity_label_shares(spark, share, quality):
     got = {r["doc_id"]: r["toxic"] for r in toxicity.scored(d.where("doc_id >= 600"), toxicity.learn(d, y)).collect()}
     caught, clean = ([got[i] for i, _, _, bad in data if i >= 600 and bad == k] for k in (1, 0))
     assert sum(caught) >= 0.95 * len(caught) and sum(clean) <= 0.05 * len(clean)
+
+
+def test_close_keeps_similar_pairs(spark):
+    rng = np.random.default_rng(5)
+    have, pairs, similar = [(0, np.zeros(0, np.uint64)), (1, np.unique(rng.integers(0, 1 << 63, 1).astype(np.uint64)))], [(1, 0)], set()
+    for k in range(200):
+        x = rng.integers(0, 1 << 63, int(rng.integers(1, 300))).astype(np.uint64)
+        y = np.concatenate([x[int(len(x) * rng.random() * 0.4) :], rng.integers(0, 1 << 63, int(len(x) * rng.random() * 0.3)).astype(np.uint64)])
+        x, y, a, b = np.unique(x), np.unique(y), 2 * k + 3, 2 * k + 2
+        have += [(a, x), (b, y)]
+        pairs.append((a, b))
+        if 5 * len(np.intersect1d(x, y)) >= 4 * len(np.union1d(x, y)):
+            similar.add((a, b))
+    bits = spark.createDataFrame([(i, len(h), simhash._bits(h).tolist()) for i, h in have], "id long, n long, bits array<long>")
+    got = {(r["a"], r["b"]) for r in simhash._close(spark.createDataFrame(pairs, "a long, b long"), bits, 0.8).collect()}
+    assert similar <= got and 20 < len(similar) and len(got) < len(similar) + 40
