@@ -2,14 +2,15 @@
 
 A document's size is its number of words. Sources in order of code points, null last, weigh 5, 2, 1, 5, 2, 1, ...; they share all words
 by weight, but none gets more than three times what it has, and what is over goes to the others by weight. Each source
-queues its documents in up to three rounds, shuffled anew in each round by a hash of round and id. A queued copy's virtual finish time
+queues its documents in up to three rounds, shuffled anew in each round by a hash of round, id and text. A queued copy's virtual finish time
 is its source's words up to and with it, divided by the source's target; all copies are put in order of that time and taken while the total
 stays within the budget, which is the sum of the targets. A copy that would go beyond is not taken, nor any after it.
 
 Running sums are made over buckets of the sort key: sums of buckets first, then within each bucket. No task holds a source or
 the whole queue, so one source may hold any share. Bins of virtual time end at LAST_BIN; what lies beyond the budget, as most of a large source
-of low weight does, isn't summed. Documents without words have size 0 and take 0. Repeated rows are queued
-singly, in order of their whole rows' digest. An empty table gives an empty result. The order depends on ids and texts alone: reruns agree.
+of low weight does, isn't summed. Documents without words have size 0 and take 0. Rows with equal or null
+ids are shuffled by their texts, so they lie in many buckets; rows equal in both are queued one after the other, in the order in which the table was
+read. An empty table gives an empty result. Sizes taken depend on ids and texts alone: reruns agree.
 """
 
 from __future__ import annotations
@@ -43,9 +44,10 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def sized(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """row, doc_id, source, size: written once, so that the text is read once and rows keep their numbers. row: the column that has them already."""
+    """row, doc_id, source, size, digest (of the text): written once, so that the text is read once and rows keep their numbers. row: the column that has them already."""
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return staged(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sizes")
+    digest = F.substring(F.md5(F.coalesce(F.col("text").cast("string"), F.lit(""))), 1, 16)
+    return staged(docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("row"), F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), digest.alias("digest")), "sizes")
 
 
 def queue(sizes: DataFrame) -> DataFrame:
@@ -54,7 +56,7 @@ def queue(sizes: DataFrame) -> DataFrame:
     d = sizes.alias("s").join(goals.alias("g"), F.col("s.source").eqNullSafe(F.col("g.source")), "left").select("s.*", "g.source_size", "g.target")
     rounds = F.filter(F.array(*[F.lit(k) for k in range(MOST)]), lambda k: (k == 0) | (k * F.col("source_size") < F.col("target")))
     d = d.withColumn("round", F.explode(rounds))
-    d = d.withColumn("draw", F.md5(F.concat_ws(":", F.col("round").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
+    d = d.withColumn("draw", F.md5(F.concat_ws(":", F.col("round").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "digest")))
     d = d.withColumn("bucket", F.substring("draw", 1, DIGITS))
     lists = d.groupBy("source", "round", "bucket").agg(F.sum("size").alias("words"))
     ahead = W.partitionBy("source").orderBy("round", "bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -94,14 +96,14 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
 
 #: The query in DuckDB; like the operator it divides as doubles.
 _MIX = r"""
-z AS (SELECT {keys}, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM {source}),
+z AS (SELECT {keys}, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, substr(md5(coalesce(text, '')), 1, 16) AS digest FROM {source}),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS p FROM z GROUP BY source),
 s1 AS (SELECT *, CASE p % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight, 3 * source_size AS cap FROM s0),
 s2 AS (SELECT *, sum(weight) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share,
   sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY CAST(cap AS DOUBLE) / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM s1),
 s3 AS (SELECT *, max(share) FILTER (WHERE rest * weight <= cap * share) OVER () AS l_share, min(rest) FILTER (WHERE rest * weight <= cap * share) OVER () AS x FROM s2),
 s4 AS (SELECT s3.source, s3.source_size, least(CAST(s3.cap AS DOUBLE), CAST(s3.weight * l.rest AS DOUBLE) / CAST(l.share AS DOUBLE)) AS target FROM s3 JOIN s2 l ON l.share = s3.l_share),
-q AS (SELECT z.*, s4.source_size, s4.target, r.round, md5(r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS draw
+q AS (SELECT z.*, s4.source_size, s4.target, r.round, md5(r.round || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || digest) AS draw
   FROM z JOIN s4 ON coalesce(z.source, chr(1)) = coalesce(s4.source, chr(1)) JOIN (SELECT 0 AS round UNION ALL SELECT 1 UNION ALL SELECT 2) r ON r.round = 0 OR r.round * s4.source_size < s4.target),
 f AS (SELECT *, CASE WHEN target = 0 THEN 0 ELSE CAST(sum(size) OVER (PARTITION BY source ORDER BY round, draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS DOUBLE) / target END AS finish FROM q),
 n AS (SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, draw, doc_id, size ROWS UNBOUNDED PRECEDING) AS passed FROM f),

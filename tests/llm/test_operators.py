@@ -385,6 +385,16 @@ def test_mixing_large_source_of_low_weight(spark):
     assert 0 < sum(r[4] for r in got if r[0] < 600) < sum(r[1] for r in got if r[0] < 600) / 4
 
 
+def test_mixing_equal_ids(spark):
+    """A third of the rows have no id, a third the same one: their texts deal them out, and the files' order changes nothing."""
+    data = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "word " * (1 + i % 11) + str(i), "abc"[i % 2]) for i in range(900)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string")
+    queued = mixing.queue(mixing.sized(docs)).where("round = 0")
+    assert max(r["count"] for r in queued.groupBy("source", "bucket").count().collect()) <= 8
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["text"])
+    assert sorted(mixing.mixed_rows(docs.repartition(5, "text")).collect(), key=key) == sorted(mixing.mixed_rows(docs.coalesce(1)).collect(), key=key)
+
+
 def test_mixing(docs):
     got = by_id(mixing.mix(docs))
     sizes = {i: r["size"] for i, r in got.items()}
