@@ -255,7 +255,7 @@ def scanned_tables(spark, sf_dir):
     """A caption on page 1 of three in four documents, and page 2 a drawn page; the recognizer reads the mode that it is asked for."""
     d = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.expr("CAST(s_suppkey % 5 + 1 AS INT) AS r"), F.expr("CAST(s_suppkey % 3 + 1 AS INT) AS c"), F.lit(2).alias("page_number"))
     words = d.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("page_number")).withColumn("text", F.when((F.col("page_number") == 1) & (F.col("doc_id") % 4 != 0), "Tabla 3").otherwise("x"))
-    return tables.extract_tables("scanned", words, images=_drawn(d).drop("r", "c"), recognize=lambda pixels, mode: f" {mode}\n")
+    return tables.extract_tables("scanned", words, images=_drawn(_spread(d)).drop("r", "c"), recognize=lambda pixels, mode: f" {mode}\n")
 
 
 def _grids(spark, sf_dir):

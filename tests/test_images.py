@@ -70,3 +70,17 @@ def test_grids(spark):
     plain = {r["image_id"]: r["pixels"] for r in images.binarized(d).collect()}
     assert len(plain["ruled"]) == ruled.size and plain["null"] is None and plain["short"] is None
     assert images.table_grids(d.limit(0)).count() == 0
+
+
+def test_recognized_moves_no_pixels(spark):
+    """Repeated pages and null ids give a row each, and no join, shuffle or broadcast holds the images."""
+    from pyspark.sql import functions as F
+
+    ruled = page(4, 3)
+    data = [(d, 2, ruled.shape[1], ruled.shape[0], p) for d, p in [(1, ruled.tobytes()), (1, ruled.tobytes()), (2**60 + 1, ruled.tobytes()), (None, ruled.tobytes()), (5, None)]]
+    found = images.recognized(spark.createDataFrame(data, "doc_id long, page_number int, width int, height int, pixels binary"), lambda pixels, mode: f" {mode}{pixels.shape[0]}\n")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    got = found.withColumn("cells", F.flatten("grid")).collect()
+    assert sorted((r["doc_id"] or 0, r["page_number"], len(r["grid"]), len(r["cells"])) for r in got) == [(0, 2, 4, 12), (1, 2, 4, 12), (1, 2, 4, 12), (2**60 + 1, 2, 4, 12)]
+    assert len({x for r in got for x in r["cells"]}) == 1
