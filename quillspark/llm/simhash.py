@@ -15,12 +15,13 @@ the links. There are no pairs of a group, however many copies it has, and no cap
 any other. Repeated rows are copies. A null doc_id is never a component's id unless it is alone. An empty table gives an empty one.
 
 The pipeline's stage (deduplicated) links texts by the Jaccard similarity of their sets of five-word shingles, 0.8 at least; words and
-similarity are its parameters. A 64-bit fingerprint can't filter for that: pairs at 0.8 differ in ten bits or so, some in eighteen, as do
-one in some 2,700 pairs of unrelated fingerprints. So candidates are found by prefixes instead: with any fixed order of shingles, two sets of
+similarity are its parameters. It begins with the same steps: fingerprints of the sets, classes, chains and the full Hamming check give candidates, whose sets
+are then compared exactly. A 64-bit fingerprint doesn't reach every such pair: at 0.8 they differ in ten bits or so, some in eighteen, as do
+one in some 2,700 pairs of unrelated fingerprints, too many for any budget of the ring. So what the chains have not connected is found exactly, by prefixes: with any fixed order of shingles, two sets of
 similarity s share one of the first n - ceil(s n) + 1. The order puts shingles that are frequent in a sample last, which changes only the cost.
 Equal sets are one class. Candidates that their sizes, or bit marks of their sets, show to be less similar are passed over, by bounds that no similar
 pair exceeds: first few marks, which the lists carry, then those in proportion to the set, which leave hardly any pair under the similarity. All others are
-checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly; only their texts are hashed again, and only their sets move. In a first round each text is
+checked exactly, so within the hash's 64 bits no pair is missed and none is linked wrongly; only their texts are hashed again, and only their sets move. After the chains each text is
 compared with one centre; then, in long lists of a shingle, centres are compared with the rest in rounds, four times as many in each; members already in
 the centre's component are passed over. So a large group of near copies costs its size and not its pairs, and no list is capped: rounds go on until all
 pairs are compared or connected.
@@ -180,7 +181,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """id, key (a digest of the set), n, marks (for each of 64 * MARKS bits, whether an odd number of shingles has it), bits (_bits) and prefix of every text."""
+    """id, key (a digest of the set), n, fp (the set's fingerprint), marks (for each of 64 * MARKS bits, whether an odd number of shingles has it), bits (_bits) and prefix of every text."""
     import xxhash
 
     shared = texts.sparkSession.sparkContext.broadcast(_frequent(texts, words))  # at most FREQUENT
@@ -188,11 +189,12 @@ def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     def run(batches):
         often, counts = shared.value
         for ids, some in rows(batches):
-            keys, sizes, marks, bits, prefixes = [], [], [], [], []
+            keys, sizes, fps, marks, bits, prefixes = [], [], [], [], [], []
             for t in some:
                 h = np.unique(hashes(t, words))
                 keys.append(xxhash.xxh3_128_hexdigest(h.tobytes()))
                 sizes.append(len(h))
+                fps.append(fingerprint(h))
                 odd = np.bincount((h % np.uint64(64 * MARKS)).astype(np.int64), minlength=64 * MARKS) & 1
                 marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                 bits.append(_bits(h))
@@ -200,9 +202,9 @@ def _sets(texts: DataFrame, words: int, similarity: float) -> DataFrame:
                     at = np.minimum(np.searchsorted(often, h), len(often) - 1)
                     h = h[np.argsort(np.where(often[at] == h, counts[at], 0), kind="stable")]
                 prefixes.append(h[: len(h) - math.ceil(similarity * len(h) - 1e-6) + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), *[pa.array(c, pa.list_(pa.int64())) for c in (marks, bits, prefixes)]], ["id", "key", "n", "marks", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys), pa.array(sizes, pa.int64()), pa.array(np.array(fps, np.uint64).view(np.int64)), *[pa.array(c, pa.list_(pa.int64())) for c in (marks, bits, prefixes)]], ["id", "key", "n", "fp", "marks", "bits", "prefix"])
 
-    return texts.mapInArrow(run, "id long, key string, n long, marks array<long>, bits array<long>, prefix array<long>")
+    return texts.mapInArrow(run, "id long, key string, n long, fp long, marks array<long>, bits array<long>, prefix array<long>")
 
 
 def _bits(h: np.ndarray) -> np.ndarray:
@@ -243,48 +245,61 @@ def _alike(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) ->
     return both.where(shared * (1 + similarity) >= similarity * (F.size("x") + F.size("y")) - 1e-6).select("a", "b"), sets
 
 
+def ringed(classes: DataFrame) -> DataFrame:
+    """(a, b): candidates among classes (id, fp). Each class meets the least id of its fingerprint, and these meet where fingerprints are linked."""
+    least = staged(classes.groupBy("fp").agg(F.min("id").alias("least")), "least")
+    same = classes.join(least, "fp").where("id != least").select(F.col("id").alias("a"), F.col("least").alias("b"))
+    near = linked(least.select("fp")).join(least.select(F.col("fp").alias("a"), F.col("least").alias("x")), "a").join(least.select(F.col("fp").alias("b"), F.col("least").alias("y")), "b")
+    return same.unionByName(near.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
+
+
 def near_copies(texts: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, component_id of texts (doc_id, text) with distinct ids: components of all pairs with the similarity or more.
 
     Texts in buckets of doc_id aren't shuffled for the checks of candidates.
     """
     found = staged(_sets(texts, words, similarity), "sets")
-    full = staged(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "marks", "bits", "prefix")]), "classes")
+    full = staged(found.groupBy("key").agg(F.min("id").alias("id"), *[F.first(c).alias(c) for c in ("n", "fp", "marks", "bits", "prefix")]), "classes")
     every, classes = staged(found.select("id", "key"), "keys"), staged(full.select("id", "key"), "names")
     discard(found)
     bits = bucketed(full.select("id", "n", "bits"), "id", "bits")
+
+    def checked(pairs: DataFrame, edges: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """The edges, with those of the pairs that are similar, and their components."""
+        close = staged(_close(pairs, bits, similarity), "close")
+        found, sets = _alike(close, texts, words, similarity)
+        edges = staged((found if edges is None else edges.unionByName(found)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
+        stars = components(edges)
+        discard(sets, close)
+        return edges, stars.withColumnRenamed("a", "id")
+
+    tested = staged(ringed(full.select("id", "fp")), "pairs")
+    edges, stars = checked(tested, None)
+    rooted = lambda d: d.join(stars, "id", "left").withColumn("root", F.coalesce("root", "id"))
     w = Window.partitionBy("token")
     lists = full.select(F.explode("prefix").alias("token"), "id").withColumn("size", F.count("*").over(w)).where("size > 1").withColumn("k", F.row_number().over(w.orderBy("id")))
-    lists = staged(lists.join(full.select("id", "n", F.col("marks").alias("x")), "id"), "lists")
+    lists = staged(rooted(lists.join(full.select("id", "n", F.col("marks").alias("x")), "id")), "lists")
     discard(full)
-    edges, tested, stars, done, wide, spent = None, None, None, 0, 0, [bits, lists]
-    while True:
-        left = lists
-        if stars is not None:  # lists with members of two components or more, and centres left
-            left = lists.where((F.col("size") > SHORT) & (F.col("size") > done + 1) if done else F.lit(True)).join(stars.withColumnRenamed("a", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-            left = left.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").drop("low", "high")
-        else:
-            left = left.withColumn("root", F.col("id"))
-        left = staged(left, "left")
-        if left.isEmpty():
-            break
+    left, done, wide, spent = lists, 0, 0, [bits, lists, tested]
+    while not left.isEmpty():
         # at first each list's least member is its centre, and a text is compared with the least of its lists' centres only
         centre = (F.col("k") == 1) if not wide else (F.col("k") > done) & ((F.col("k") <= done + wide) | (F.col("size") <= SHORT))
         centres = left.where(centre).select("token", F.col("id").alias("a"), F.col("n").alias("m"), F.col("x").alias("y"), F.col("k").alias("c"), F.col("root").alias("r"))
         met = left.join(centres, "token").where((F.col("k") > F.col("c")) & (F.col("root") != F.col("r")) & _may(similarity))
         pairs = met.groupBy(F.col("id").alias("b")).agg(F.min("a").alias("a")).select("a", "b") if not wide else met.select("a", F.col("id").alias("b")).distinct()
-        pairs = staged(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        close = staged(_close(pairs, bits, similarity), "close")
-        found, sets = _alike(close, texts, words, similarity)
-        tested = pairs if tested is None else tested.unionByName(pairs)
+        pairs = staged(pairs.join(tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "pairs")
+        edges, stars = checked(pairs, edges)
+        tested = tested.unionByName(pairs)
         spent.append(pairs)
-        edges = staged((found if edges is None else edges.unionByName(found)).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-        stars = components(edges)
-        discard(sets, left, close)
+        if left is not lists:
+            discard(left)
         done, wide = done + wide, 4 * wide or 1
-    discard(left, *spent)
-    named = classes.select("key", "id") if stars is None else classes.join(stars, classes.id == stars.a, "left").select("key", F.coalesce("root", "id").alias("id"))
-    return every.select("id", "key").withColumnRenamed("id", "doc_id").join(named.withColumnRenamed("id", "component_id"), "key").select("doc_id", "component_id")
+        # lists with members of two components or more, and centres left
+        left = rooted(lists.drop("root").where((F.col("size") > SHORT) & (F.col("size") > done + 1) if done else F.lit(True)))
+        left = staged(left.withColumn("low", F.min("root").over(w)).withColumn("high", F.max("root").over(w)).where("low < high").drop("low", "high"), "left")
+    discard(*spent, *([left] if left is not lists else []))
+    named = rooted(classes).select("key", F.col("root").alias("component_id"))
+    return every.select("id", "key").withColumnRenamed("id", "doc_id").join(named, "key").select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, words: int = NEAR_WORDS, similarity: float = SIMILARITY) -> DataFrame:

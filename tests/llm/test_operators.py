@@ -353,6 +353,30 @@ def test_near_copies(spark):
     assert simhash.deduplicated(d).count() == len(set(got.values()))
 
 
+def test_near_copies_by_fingerprints(spark, monkeypatch):
+    """The stage's first candidates are those of the ring; without any of the prefixes they alone link what lies within two bits and is similar."""
+    rng, texts = random.Random(17), [None, "", "one two", "one two three"]
+    for n in (40, 400, 1500):
+        for _ in range(4):
+            w = [f"w{rng.randrange(3000)}" for _ in range(n)]
+            for k in range(4):
+                v = list(w)
+                v[rng.randrange(n)] = f"changed{k}"
+                texts.append(" ".join(v))
+    sets = {i: {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t in enumerate(texts)}
+    h = {i: [xxhash.xxh64_intdigest(x, 42) for x in s] for i, s in sets.items()}
+    fps = {i: sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h[i]) > len(h[i])) for i in sets}
+    within = [(a, b) for a, b in itertools.combinations(sets, 2) if bin(fps[a] ^ fps[b]).count("1") <= 2]
+    assert len(within) > 20 and all(5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in within)
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    classes = spark.createDataFrame([(i, f - (f >> 63 << 64)) for i, f in fps.items()], "id long, fp long")
+    pairs = {(r["b"], r["a"]) for r in simhash.ringed(classes).collect()}
+    assert pairs <= set(within)
+    monkeypatch.setattr(simhash, "_may", lambda similarity: simhash.F.lit(False))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(d).collect()}
+    assert got == brute_components(fps) and len(set(got.values())) < len(texts) - 12
+
+
 @pytest.mark.parametrize("short", [1, 4, 32])
 def test_links_and_components(spark, short):
     rng, fps = random.Random(5), set()
